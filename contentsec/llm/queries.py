@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentsec.llm import byte_bpe, chunk_dedup, license_scan, mixing
+from contentsec.llm import byte_bpe, chunk_dedup, language_id, license_scan, mixing, quality, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op4_pigeonhole_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+def op6_neighbour_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -38,7 +50,10 @@ def bpe_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_mixture": op2_language_mixture,
     "op3_chunk_recipes": op3_chunk_recipes,
+    "op4_pigeonhole_simhash": op4_pigeonhole_simhash,
+    "op6_neighbour_voting": op6_neighbour_voting,
     "op8_water_filling": op8_water_filling,
     "op9_diagonal_voting": op9_diagonal_voting,
     "op10_merge_replay": op10_merge_replay,
