@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentsec.llm import byte_bpe, chunk_dedup, language_id, license_scan, mixing, quality, simhash
+from contentsec.llm import byte_bpe, chunk_dedup, html_extract, language_id, license_scan, mixing, quality, simhash, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,15 @@ def op4_pigeonhole_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digests(table(spark, sf_dir, "documents"))
+
+
+def removal_digests(docs: DataFrame, group: int = suffix_dedup.GROUP) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s[1] - s[0])
+    return suffix_dedup.dedup(docs, group=group).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_neighbour_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -30,6 +39,10 @@ def op3_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
@@ -53,7 +66,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_mixture": op2_language_mixture,
     "op3_chunk_recipes": op3_chunk_recipes,
     "op4_pigeonhole_simhash": op4_pigeonhole_simhash,
+    "op5_suffix_sort": op5_suffix_sort,
     "op6_neighbour_voting": op6_neighbour_voting,
+    "op7_tag_path_ratios": op7_tag_path_ratios,
     "op8_water_filling": op8_water_filling,
     "op9_diagonal_voting": op9_diagonal_voting,
     "op10_merge_replay": op10_merge_replay,
