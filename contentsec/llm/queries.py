@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentsec.llm import byte_bpe, chunk_dedup, html_extract, language_id, license_scan, mixing, quality, simhash, suffix_dedup
+from contentsec.llm import byte_bpe, chunk_dedup, html_extract, language_id, license_scan, mixing, parsing, quality, simhash, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_consistent_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.compared(table(spark, sf_dir, "documents"))
+
+
 def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ def bpe_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_consistent_parsing": op1_consistent_parsing,
     "op2_language_mixture": op2_language_mixture,
     "op3_chunk_recipes": op3_chunk_recipes,
     "op4_pigeonhole_simhash": op4_pigeonhole_simhash,
