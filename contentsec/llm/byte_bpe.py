@@ -1,8 +1,11 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-A block of texts is one corpus: the distinct pre-tokens that have no known encoding are laid out side by side, an
-inverted index maps each adjacent pair (by the rank of its merge) to its positions, and the merges are replayed in
-rank order over all words at once. A merge touches only its own positions and updates only the neighbouring pairs.
+A block of texts is one corpus: the distinct pre-tokens that have no known encoding are laid out side by side, and an
+index of their adjacent pairs, by the rank of the pair's merge and its position, is replayed in rank order over all
+words at once. A merge touches only its own position and updates only the two neighbouring pairs. Words share no
+position, so each step applies at once, in every word, the merge that comes next there; that gives what one merge after
+the other over the whole corpus gives. In a long word steps would be many, so its index is a queue of ranks with the
+positions of each, replayed rank by rank.
 Encodings of words are kept in a bounded table for the following blocks. No shuffle: words that several tasks meet
 are encoded once in each Python worker.
 
@@ -29,6 +32,9 @@ from contentsec.llm.common import blocks, id_and_text
 WORDS_KEPT = 200_000
 #: Characters from which a text is encoded in runs.
 LONG_TEXT, RUN = 1 << 20, 1 << 16
+#: Bytes from which a word is replayed by itself.
+LONG_WORD = 64
+_NONE = 1 << 30
 
 
 class Encoder:
@@ -39,6 +45,9 @@ class Encoder:
         self.vocabulary = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.vocabulary[rank] = token
+        pairs = {(ranks[t[:i]] << 32) | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        self.pair_keys = np.array(sorted(pairs), np.int64)
+        self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()] or [0], np.int64)
         self.of_byte = [ranks.get(bytes([b]), -1) for b in range(256)]
         if min(self.of_byte) < 0:
             raise ValueError("the vocabulary lacks single bytes")
@@ -54,20 +63,76 @@ class Encoder:
             self.pairs[key] = self.ranks.get(self.vocabulary[a] + self.vocabulary[b])
         return self.pairs[key]
 
-    def replay(self, words: list[str]) -> list[bytes]:
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ranks of the merges of pairs, _NONE where there is none."""
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), max(len(self.pair_keys) - 1, 0))
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], _NONE) if len(self.pair_keys) else np.full(len(a), _NONE)
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
         """The encodings of the words, as little-endian unsigned 32-bit ids."""
-        ids: list[int] = []
-        starts: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        for word in words:
-            first = len(ids)
-            starts.append(first)
-            ids += [self.of_byte[b] for b in word.encode("utf-8", "surrogatepass")]
-            after += range(first + 1, len(ids) + 1)
-            before += range(first - 1, len(ids) - 1)
-            if len(ids) > first:
-                after[-1], before[first] = -1, -1
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        short = [i for i, w in enumerate(raw) if 0 < len(w) < LONG_WORD]
+        out = [b""] * len(raw)
+        for i, ids in zip(short, self.replay([raw[i] for i in short]), strict=True):
+            out[i] = ids
+        for i, w in enumerate(raw):
+            if len(w) >= LONG_WORD:
+                out[i] = self.replay_long(w)
+        return out
+
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        """Of words that aren't empty, all at once."""
+        if not words:
+            return []
+        sizes = np.array([len(w) for w in words])
+        ids = np.array(self.of_byte, np.int64)[np.frombuffer(b"".join(words), np.uint8)]
+        n = len(ids)
+        starts = np.cumsum(sizes) - sizes
+        final, gone = ids, np.zeros(n, bool)
+        # of the words that are still in work: positions in the whole, neighbours in the part (-1: none), ranks
+        here = np.arange(n)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[starts + sizes - 1] = -1
+        before[starts] = -1
+        rank = np.full(n, _NONE)
+        inner = np.flatnonzero(after >= 0)
+        rank[inner] = self._ranks(ids[inner], ids[inner + 1])
+        while True:
+            least = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), starts)
+            open_ = least >> 32 < _NONE
+            if not open_.any():
+                break
+            at = least[open_] & 0xFFFFFFFF
+            to = after[at]
+            new = rank[at]
+            final[here[at]] = new
+            gone[here[to]] = True
+            far = after[to]
+            after[at] = far
+            rank[to] = rank[at] = _NONE
+            with_far = far >= 0
+            before[far[with_far]] = at[with_far]
+            rank[at[with_far]] = self._ranks(new[with_far], final[here[far[with_far]]])
+            left = before[at]
+            with_left = left >= 0
+            rank[left[with_left]] = self._ranks(final[here[left[with_left]]], new[with_left])
+            if 2 * open_.sum() < len(open_):  # most words are done; go on with the others' remaining symbols
+                sizes = np.diff(np.append(starts, len(rank)))
+                stay = np.repeat(open_, sizes) & ~gone[here]
+                moved = np.cumsum(stay) - 1
+                after, before = (np.where(x[stay] >= 0, moved[x[stay]], -1) for x in (after, before))
+                here, rank = here[stay], rank[stay]
+                starts = np.flatnonzero(before < 0)
+        ends = np.cumsum([len(w) for w in words])
+        kept = np.cumsum(~gone)[ends - 1].tolist()
+        packed = final[~gone].astype("<u4").tobytes()
+        return [packed[4 * a : 4 * b] for a, b in zip([0, *kept[:-1]], kept, strict=True)]
+
+    def replay_long(self, word: bytes) -> bytes:
+        """Of one word, by a queue of ranks and an inverted index from rank to positions."""
+        ids = [self.of_byte[b] for b in word]
+        after, before = [*range(1, len(ids)), -1], list(range(-1, len(ids) - 1))
         index: dict[int, list[int]] = {}
         for at, to in enumerate(after):
             if to >= 0 and (rank := self._rank(ids[at], ids[to])) is not None:
@@ -99,19 +164,13 @@ class Encoder:
                         heapq.heappush(queue, rank)
                     index[rank] += places[k + 1 :]
                     break
-        out, packed = [], np.array(ids, "<u4")
-        kept = np.flatnonzero(np.frombuffer(gone, np.uint8) == 0) if gone else np.zeros(0, int)
-        cuts = np.searchsorted(kept, [*starts, len(ids)])
-        packed = packed[kept]
-        for a, b in itertools.pairwise(cuts):
-            out.append(packed[a:b].tobytes())
-        return out
+        return np.array(ids, "<u4")[np.frombuffer(gone, np.uint8) == 0].tobytes()
 
     def learn(self, words: Iterable[str]) -> None:
         if new := [w for w in words if w not in self.words]:
             if len(self.words) + len(new) > WORDS_KEPT:
                 self.words.clear()
-            self.words.update(zip(new, self.replay(new), strict=True))
+            self.words.update(zip(new, self.encode_words(new), strict=True))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         if len(texts) == 1 and len(texts[0]) > LONG_TEXT:
@@ -127,7 +186,7 @@ class Encoder:
         new = distinct - self.words.keys()
         if len(self.words) + len(new) > WORDS_KEPT:
             self.words, new = {}, distinct
-        self.words.update(zip(new := list(new), self.replay(new), strict=True))
+        self.words.update(zip(new := list(new), self.encode_words(new), strict=True))
         get = self.words.__getitem__
         return [b"".join(map(get, run)) for run in split]
 
