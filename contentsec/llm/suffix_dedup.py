@@ -9,7 +9,8 @@ windows repeat. For the others one copy of each different context is fetched, an
 anchors are sorted as suffixes: a mergesort whose comparisons find the common extension by binary search over prefix
 polynomial hashes. Neighbours' extensions are then verified byte by byte (and a wrong order sorted again by bytes), and
 windows are equal if they share a long enough extension on both sides. A gram with over GROUP different contexts is not
-sorted in one task: its windows are counted by their 128-bit hashes, an aggregate that Spark spreads over all tasks.
+sorted in one task: blocks of its windows are counted by 128-bit hashes of their bytes, in aggregates that Spark spreads
+over all tasks, and cut smaller only where they are neither unlike all others nor wholly alike.
 
 Equal contexts are taken for equal by two independent 64-bit hashes (gram and context), not compared byte by byte.
 Null text is empty. Texts below 200 bytes lose nothing. Repeated rows are documents of their own, so all their windows
@@ -223,18 +224,58 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], most: int = 4096) -> Itera
         yield solve(held)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, c, at, times, x, y): each window of contexts, with a 128-bit hash of its bytes and its distance."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            part = batch.slice(i, 256)
-            cols: list[list[int]] = [[], [], [], [], [], []]
-            for h, c, a, n, times, context in zip(*(part.column(x).to_pylist() for x in ("h", "c", "a", "n", "times", "context")), strict=True):
-                for at in range(n):
-                    x, y = np.frombuffer(xxhash.xxh3_128_digest(context[at : at + WINDOW], seed=a - at), "<i8").tolist()
-                    for col, v in zip(cols, (h, c, at, times, x, y), strict=True):
+#: Widths of the blocks of windows into which a gram's contexts are cut when they are too many for one task.
+BLOCKS = (64, 16, 4, 1)
+_BLOCK = "h bigint, c bigint, times bigint, a int, d int, cx bigint, cy bigint, fx bigint, fy bigint"
+
+
+def _cut_blocks(width: int):
+    """Rows (h, c, a, n, context, asks) to one row for each block of `width` windows, d..d + width - 1 bytes before the
+    anchor, that is asked for and meets the context's own windows. (cx, cy) is the hash of the bytes that all windows of
+    the block share, (fx, fy) that of all their bytes; null where the context lacks some of its windows."""
+
+    def name(data: bytes) -> list[int]:
+        return np.frombuffer(xxhash.xxh3_128_digest(data), "<i8").tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [[] for _ in range(9)]
+            for h, c, a, n, context, asks in zip(*(batch.column(x).to_pylist() for x in ("h", "c", "a", "n", "context", "asks")), strict=True):
+                least = a - n + 1
+                for ask in asks:
+                    d, last = ask["d"], ask["d"] + width - 1
+                    if last < least or d > a:
+                        continue
+                    full = name(context[a - last : a + WINDOW - d]) if last <= a and d >= least else [None, None]
+                    for col, v in zip(cols, (h, c, ask["times"], a, d, *name(context[a - d : a + WINDOW - last]), *full), strict=True):
                         col.append(v)
-            yield pa.record_batch([pa.array(v, pa.int64()) for v in cols], ["h", "c", "at", "times", "x", "y"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4]
+            yield pa.record_batch([pa.array(v, k) for v, k in zip(cols, kinds, strict=True)], ["h", "c", "times", "a", "d", "cx", "cy", "fx", "fy"])
+
+    return run
+
+
+def _counted_blocks(contexts: DataFrame) -> DataFrame:
+    """(h, c, runs) of contexts(h, c, a, n, times, context), by aggregates only, so that no task needs a whole group.
+
+    Blocks whose shared bytes nothing else has are done: none of their windows repeats. Blocks that are wholly equal are
+    done too: all of their windows repeat, and one of them goes on for the rest. What goes on is cut into smaller blocks."""
+    found = contexts.filter("times > 1").select("h", "c", F.array(F.lit(0), F.col("n").cast("int")).alias("run"))
+    asks = F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1), F.lit(BLOCKS[0])), lambda d: F.struct(d.cast("int").alias("d"), F.col("times").alias("times")))
+    asked = contexts.select("h", "c", "a", "n", "context", asks.alias("asks"))
+    for width, smaller in zip(BLOCKS, (*BLOCKS[1:], 0), strict=True):
+        each = materialize(asked.mapInArrow(_cut_blocks(width), _BLOCK), "blocks")
+        whole = F.col("fx").isNotNull()
+        named = each.withColumn("whole", whole).withColumn("kx", F.coalesce("fx", "c")).withColumn("ky", F.coalesce("fy", F.lit(0)))
+        kinds = materialize(named.groupBy("h", "d", "cx", "cy", "whole", "kx", "ky").agg(F.sum("times").alias("all_times"), F.min("c").alias("c0")), "kinds")
+        same = materialize(kinds.filter("whole and all_times > 1").select("h", "d", "kx", "ky"), "same")
+        equal = named.filter("whole").join(same, ["h", "d", "kx", "ky"]).select("h", "c", F.array(F.col("a") - F.col("d") - (width - 1), F.col("a") - F.col("d") + 1).alias("run"))
+        found = found.union(equal)
+        if smaller:
+            several = materialize(kinds.groupBy("h", "d", "cx", "cy").count().filter("count > 1").drop("count"), "several")
+            on = kinds.join(several, ["h", "d", "cx", "cy"]).select("h", F.col("c0").alias("c"), F.col("all_times").alias("times"), F.explode(F.sequence(F.col("d"), F.col("d") + (width - 1), F.lit(smaller))).alias("d"))
+            asked = contexts.drop("times").join(materialize(on.groupBy("h", "c").agg(F.collect_list(F.struct("d", "times")).alias("asks")), "on"), ["h", "c"])
+    return materialize(found, "runs").groupBy("h", "c").agg(F.collect_set("run").alias("runs"))
 
 
 def repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
@@ -263,9 +304,7 @@ def repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     bytes_of = materialize(there.select("text", "asks").mapInArrow(cut, "h bigint, c bigint, a smallint, n smallint, times bigint, context binary").dropDuplicates(["h", "c"]), "bytes")
     many = materialize(one.groupBy("h").count().filter(F.col("count") > group).select("h"), "many")
     few = bytes_of.join(many, "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_groups, _FOUND)
-    each = materialize(bytes_of.join(many, "h", "left_semi").mapInArrow(_windows, "h bigint, c bigint, at bigint, times bigint, x bigint, y bigint"), "windows")
-    twice = materialize(each.groupBy("h", "x", "y").agg(F.sum("times").alias("times")).filter("times > 1").select("h", "x", "y"), "twice")
-    hot = each.join(twice, ["h", "x", "y"]).groupBy("h", "c").agg(F.collect_set("at").alias("at")).select("h", "c", F.transform("at", lambda i: F.array(i.cast("int"), (i + 1).cast("int"))).alias("runs"))
+    hot = few.limit(0) if many.isEmpty() else _counted_blocks(materialize(bytes_of.join(many, "h", "left_semi"), "crowded"))
     found = materialize(few.union(hot).filter(F.size("runs") > 0), "found")
     mixed = shared.filter("mixed").join(found, ["h", "c"]).select("doc_id", "k", "s", F.explode("runs").alias("r"))
     return plain.union(mixed.select("doc_id", "k", (F.col("s") + F.col("r")[0]).alias("start"), (F.col("s") + F.col("r")[1] + WINDOW - 1).alias("stop")))
