@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,10 +54,6 @@ def unmask(text: Column) -> Column:
 @functools.cache
 def _nfkc() -> Callable[[Column], Column]:
     """Made when first used: Spark needs a session for it."""
-    from collections.abc import Iterator
-
-    import pyarrow as pa
-
     @F.arrow_udf("string")
     def run(text: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import unicodedata

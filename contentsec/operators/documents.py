@@ -64,7 +64,11 @@ def spreadsheet(data: Column, config: Config = Config()) -> Column:  # noqa: B00
     book = workbooks(F.when(kind(data, config) == "zip", data), config.sheets)
     hidden = F.filter(book["cells"], lambda c: (c["place"] < config.sheets) & c["state"].isin("hidden", "veryHidden") & (F.length(c["text"]) > 5) & _hit(c["text"]).isNotNull())
     comments = F.filter(book["comments"], lambda c: _hit(c).isNotNull())
-    dangerous = [F.transform(F.filter(book["cells"], lambda c, p=p: c["formula"].rlike("(?i)" + p)), lambda c, v=v: _signal("excel_dangerous_formula", v, c["formula"], CONTROL)) for p, v in patterns.FORMULAS]
+
+    def calls_out(pattern: str, confidence: float) -> Column:
+        return F.transform(F.filter(book["cells"], lambda c: c["formula"].rlike("(?i)" + pattern)), lambda c: _signal("excel_dangerous_formula", confidence, c["formula"], CONTROL))
+
+    dangerous = [calls_out(p, v) for p, v in patterns.FORMULAS]
     formulas = F.filter(book["cells"], lambda c: (c["formula"] != "") & _hit(c["formula"]).isNotNull())
     named = F.filter(book["names"], lambda n: _hit(n["text"]).isNotNull())
     calls = F.filter(book["names"], lambda n: n["text"].rlike("(?i)" + "|".join(p for p, _ in patterns.FORMULAS)))
