@@ -22,33 +22,57 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+#: Letters that Java and Python take for `s` and `i` in any case, though their lower case isn't.
+_ODD = ("ſ", "ı", "İ")
+
+
+def _may(text: Column, low: Column, pattern: str) -> Column | None:
+    """Whether a text (and its lower case) can match at all, by plain searches, which cost far less than the pattern."""
+    needs = patterns.required(pattern)
+    if needs is None:
+        return None
+    out = F.lit(False)
+    for odd in _ODD:
+        out = out | text.contains(odd)
+    for all_of in needs:
+        held = low.contains(all_of[0])
+        for more in all_of[1:]:
+            held = held & low.contains(more)
+        out = out | held
+    return out
+
+
+def _guarded(text: Column, low: Column, pattern: str, value: Column) -> Column:
+    may = _may(text, low, pattern)
+    return value if may is None else F.when(may, value)
+
+
 def found(text: Column, pattern: str, flags: str = patterns.ANY_CASE) -> Column:
-    return text.rlike(flags + pattern)
+    """Whether the pattern occurs; null for a null text."""
+    return let(text, lambda t: F.when(t.isNotNull(), F.coalesce(_guarded(t, F.lower(t), pattern, t.rlike(flags + pattern)), F.lit(False))))
 
 
 def first_match(text: Column, these: Iterable[str], flags: str = patterns.ANY_CASE) -> Column:
-    """What the first pattern that occurs matches first; null if none occurs. One alternation is tried before all."""
+    """What the first pattern that occurs matches first; null if none occurs."""
     these = list(these)
-    any_of = "|".join(f"(?:{p})" for p in these)
-    return let(text, lambda t: F.when(t.rlike(flags + any_of), F.coalesce(*(F.regexp_substr(t, F.lit(flags + p)) for p in these))))
+    return let(text, lambda t: let(F.lower(t), lambda low: F.coalesce(*(_guarded(t, low, p, F.regexp_substr(t, F.lit(flags + p))) for p in these))))
 
 
 def count_patterns(text: Column, these: Iterable[str]) -> Column:
     """How many of the patterns occur."""
-    total = F.lit(0)
-    for p in these:
-        total = total + found(text, p).cast("int")
-    return total
+    return F.when(text.isNotNull(), F.size(matched_patterns(text, these)))
 
 
 def matched_patterns(text: Column, these: Iterable[str]) -> Column:
     """The first match of each pattern that occurs, in the patterns' order."""
-    return F.filter(F.array(*(F.regexp_substr(text, F.lit(patterns.ANY_CASE + p)) for p in these)), lambda m: m.isNotNull())
+    these = list(these)
+    every = let(text, lambda t: let(F.lower(t), lambda low: F.array(*(_guarded(t, low, p, F.regexp_substr(t, F.lit(patterns.ANY_CASE + p))) for p in these))))
+    return F.filter(every, lambda m: m.isNotNull())
 
 
 def unmask(text: Column) -> Column:
     """Lookalike letters replaced by Latin ones."""
-    return F.translate(text, *patterns.LOOKALIKES)
+    return F.when(text.rlike("[^\\x00-\\x7F]"), F.translate(text, *patterns.LOOKALIKES)).otherwise(text)
 
 
 @functools.cache
@@ -90,13 +114,14 @@ def base64_runs(text: Column) -> Column:
         raw = F.when(fits, F.try_to_binary(whole, F.lit("base64")))
         return F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("�"), F.lit(""))
 
+    runs = F.when(text.rlike("[A-Za-z0-9+/]{20}"), runs).otherwise(F.array().cast("array<string>"))
     return F.filter(F.transform(runs, decoded), lambda t: t.isNotNull() & t.rlike("(?U)\\p{IsAlphabetic}"))
 
 
 def percent_decoded(text: Column) -> Column:
     """Percent escapes decoded; `+` and broken escapes stay."""
     safe = F.regexp_replace(F.replace(text, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
-    return F.coalesce(F.try_url_decode(safe), text)
+    return F.when(text.contains("%"), F.coalesce(F.try_url_decode(safe), text)).otherwise(text)
 
 
 def decode_payloads(text: Column) -> Column:
@@ -117,12 +142,12 @@ def spans(text: Column, pattern: str, flags: str = patterns.ANY_CASE) -> Column:
         return F.concat(done, F.array(F.struct(start.alias("start"), (start + F.length(pair["match"])).alias("stop"), pair["match"].alias("match"))))
 
     pairs = F.filter(F.arrays_zip(pieces.alias("piece"), matches.alias("match")), lambda p: p["match"].isNotNull())
-    return F.when(text.rlike(flags + pattern), F.aggregate(pairs, empty, step)).otherwise(empty)
+    return F.when(found(text, pattern, flags), F.aggregate(pairs, empty, step)).otherwise(empty)
 
 
 def first_start(text: Column, pattern: str, flags: str = patterns.ANY_CASE) -> Column:
     """Where the first match starts, in code points from 0; null without one."""
-    return F.when(text.rlike(flags + pattern), F.length(F.element_at(F.split(text, flags + pattern, 2), 1)))
+    return F.when(found(text, pattern, flags), F.length(F.element_at(F.split(text, flags + pattern, 2), 1)))
 
 
 def around(text: Column, start: Column, stop: Column, reach: int) -> Column:

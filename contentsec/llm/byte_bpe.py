@@ -15,6 +15,7 @@ null ids pass through. A very long text is cut into runs of whole pre-tokens, ne
 
 from __future__ import annotations
 
+import array
 import base64
 import functools
 import heapq
@@ -29,7 +30,9 @@ from pyspark.sql import DataFrame
 from contentsec.llm.common import blocks, id_and_text
 
 #: Entries of the table of encoded words; it is emptied when full.
-WORDS_KEPT = 200_000
+WORDS_KEPT = 60_000
+#: Text bytes of a block: its pre-tokens are held at once.
+BLOCK = 1 << 20
 #: Characters from which a text is encoded in runs.
 LONG_TEXT, RUN = 1 << 20, 1 << 16
 #: Bytes from which a word is replayed by itself.
@@ -45,23 +48,24 @@ class Encoder:
         self.vocabulary = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.vocabulary[rank] = token
-        pairs = {(ranks[t[:i]] << 32) | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-        self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()] or [0], np.int64)
+        left, right, made = array.array("q"), array.array("q"), array.array("q")
+        for t, r in ranks.items():
+            for i in range(1, len(t)):
+                if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None:
+                    left.append(a)
+                    right.append(b)
+                    made.append(r)
+        keys = np.frombuffer(left, np.int64) << 32 | np.frombuffer(right, np.int64) if left else np.zeros(0, np.int64)
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_ranks = keys[order], np.frombuffer(made, np.int64)[order] if left else np.zeros(1, np.int64)
         self.of_byte = [ranks.get(bytes([b]), -1) for b in range(256)]
         if min(self.of_byte) < 0:
             raise ValueError("the vocabulary lacks single bytes")
         self.pattern = regex.compile(pattern)
-        self.pairs: dict[tuple[int, int], int | None] = {}
         self.words: dict[str, bytes] = {}
 
     def _rank(self, a: int, b: int) -> int | None:
-        key = (a, b)
-        if key not in self.pairs:
-            if len(self.pairs) > 4 * WORDS_KEPT:
-                self.pairs.clear()
-            self.pairs[key] = self.ranks.get(self.vocabulary[a] + self.vocabulary[b])
-        return self.pairs[key]
+        return self.ranks.get(self.vocabulary[a] + self.vocabulary[b])
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The ranks of the merges of pairs, _NONE where there is none."""
@@ -191,7 +195,7 @@ class Encoder:
         return [b"".join(map(get, run)) for run in split]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        get, step = self.vocabulary.__getitem__, 1 << 20
+        get, step = self.vocabulary.__getitem__, 1 << 16
         return b"".join(b"".join(map(get, ids[i : i + step].tolist())) for i in range(0, len(ids), step))
 
 
@@ -209,7 +213,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(path, pattern)
-        for part in blocks(batches):
+        for part in blocks(batches, limit=BLOCK):
             ids = of.encode_all(part.column("text").to_pylist())
             yield pa.record_batch([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
@@ -221,8 +225,21 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(path, pattern)
-        for part in blocks(batches, "ids"):
+        for part in blocks(batches, "ids", BLOCK):
             texts = [of.decode(np.frombuffer(x or b"", "<u4")) for x in part.column("ids").to_pylist()]
             yield pa.record_batch([*part.columns, pa.array(texts, pa.binary())], [*part.schema.names, "decoded"])
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary, decoded binary")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """decode(encode(docs)) in one step, so that a task has one Python worker and one vocabulary in memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = encoder(path, pattern)
+        for part in blocks(batches, limit=BLOCK):
+            ids = of.encode_all(part.column("text").to_pylist())
+            texts = [of.decode(np.frombuffer(x, "<u4")) for x in ids]
+            yield pa.record_batch([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(texts, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
+
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary, decoded binary")

@@ -62,7 +62,7 @@ def op10_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    coded = byte_bpe.decode(byte_bpe.encode(docs, path, pattern), path, pattern)
+    coded = byte_bpe.round_trip(docs, path, pattern)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

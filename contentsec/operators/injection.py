@@ -36,7 +36,8 @@ def comment_injection(html: Column) -> Column:
 
 
 def zero_width_count(html: Column) -> Column:
-    return F.length(html) - F.length(F.translate(html, patterns.ZERO_WIDTH, ""))
+    held = F.when(html.rlike(f"[{patterns.ZERO_WIDTH}]"), F.length(html) - F.length(F.translate(html, patterns.ZERO_WIDTH, "")))
+    return F.when(html.isNotNull(), F.coalesce(held, F.lit(0)))
 
 
 def zero_width(html: Column) -> Column:

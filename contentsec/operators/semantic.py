@@ -44,24 +44,25 @@ def persona(text: Column) -> Column:
     """For each persona pattern, its first match if a capability phrase is within 300 characters."""
     found = []
     for p in patterns.PERSONA:
-        first = F.struct(T.first_start(text, p).alias("start"), F.regexp_substr(text, F.lit(patterns.java(p))).alias("match"))
+        first = F.when(T.found(text, p), F.struct(T.first_start(text, p).alias("start"), F.regexp_substr(text, F.lit(patterns.java(p))).alias("match")))
         near = T.let(first, lambda m: F.struct(m["match"].alias("match"), T.first_match(T.around(text, m["start"], m["start"] + F.length(m["match"]), 300), patterns.CAPABILITY).alias("near")))
         found.append(T.let(near, lambda x: F.when(x["near"].isNotNull(), _signal("persona_replacement", 0.85, F.concat_ws(" / ", x["match"], x["near"]), text))))
-    any_of = "|".join(f"(?:{p})" for p in patterns.PERSONA)
-    return F.when(T.found(text, any_of), some(*found))
+    return F.when(T.found(text, "|".join(patterns.CAPABILITY)), some(*found))
 
 
 def multilingual(text: Column) -> Column:
     near, matches = F.lit(False), []
     for p, case in patterns.MULTILINGUAL:
         flags = patterns.SAME_CASE if case else patterns.ANY_CASE
-        match, start = F.regexp_substr(text, F.lit(flags + p)), T.first_start(text, p, flags)
+        match, start = T.first_match(text, [p], flags), T.first_start(text, p, flags)
         matches.append(match)
         window = T.around(text, start, start + F.length(match), 500)
         near = near | F.coalesce(T.found(window, "|".join(patterns.CAPABILITY)), F.lit(False))
-    found = F.filter(F.array(*matches), lambda m: m.isNotNull())
-    confidence = F.when(near, 0.80).when(F.size(found) >= 2, 0.65).otherwise(0.45)
-    return F.when(F.size(found) > 0, _signal("multilingual_jailbreak", confidence, F.array_join(F.slice(found, 1, 3), ", "), text))
+    def judged(found: Column) -> Column:
+        confidence = F.when(near, 0.80).when(F.size(found) >= 2, 0.65).otherwise(0.45)
+        return F.when(F.size(found) > 0, _signal("multilingual_jailbreak", confidence, F.array_join(F.slice(found, 1, 3), ", "), text))
+
+    return T.let(F.filter(F.array(*matches), lambda m: m.isNotNull()), judged)
 
 
 def _wrappers(text: str) -> list[dict]:

@@ -17,6 +17,53 @@ def java(pattern: str) -> str:
     return ANY_CASE + pattern
 
 
+def required(pattern: str) -> list[list[str]] | None:
+    """Texts that a match must hold, in lower case: one list for each alternative, all of whose texts it holds.
+
+    None if some alternative has none. Only what stands outside groups and classes counts, so the answer may be less than
+    could be said, never more."""
+    out: list[list[str]] = [[]]
+    run, depth, i = "", 0, 0
+
+    def end() -> None:
+        nonlocal run
+        if depth == 0 and (len(run) >= 3 or any(not c.isalnum() for c in run) or any(ord(c) > 0x2E80 for c in run)):
+            out[-1].append(run.lower())
+        run = ""
+
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            end()
+            i += 2
+            continue
+        if c == "[":
+            end()
+            i = pattern.index("]", i + 2 if pattern[i + 1] != "^" else i + 3) + 1
+            continue
+        if c in "?*{":
+            run = run[:-1]
+            end()
+            i = pattern.index("}", i) + 1 if c == "{" else i + 1
+            continue
+        if c == "|" and depth == 0:
+            end()
+            out.append([])
+        elif c == "(":
+            end()
+            depth += 1
+        elif c == ")":
+            run = ""
+            depth -= 1
+        elif c in ".^$+|":
+            end()
+        elif depth == 0:
+            run += c
+        i += 1
+    end()
+    return out if all(out) else None
+
+
 def _all(*phrases: str) -> tuple[str, ...]:
     return tuple(map(regex, phrases))
 
