@@ -21,16 +21,16 @@ class Config:
     sheets: int = 20
     events: int = 500
     #: By detector; others weigh other_weight.
-    weights: tuple[tuple[str, float], ...] = (("agent_trust", 0.05), ("asymmetry", 0.20), ("content_injection", 0.25), ("document", 0.10), ("memory_provenance", 0.10), ("semantic_manipulation", 0.15), ("steganography", 0.15))
-    other_weight: float = 0.1
+    weights: tuple[tuple[str, float], ...] = patterns.WEIGHTS
+    other_weight: float = patterns.OTHER_WEIGHT
     yellow: float = 0.65
     red: float = 0.35
     quarantine: float = 0.15
     #: A random share by which yellow and red may move, fixed by the seed; 0 for repeatable reports.
     jitter: float = 0.0
     jitter_seed: int = 0
-    actions: tuple[str, ...] = ("click", "fetch_url", "read_file", "scroll", "search", "summarize", "type", "write_file")
-    blocked_actions: tuple[str, ...] = ("change_permissions", "execute_code", "modify_system_prompt", "send_email", "spawn_agent")
+    actions: tuple[str, ...] = patterns.ALLOWED_ACTIONS
+    blocked_actions: tuple[str, ...] = patterns.BLOCKED_ACTIONS
     allowed_domains: tuple[str, ...] = ()
     memory_trust: float = 0.4
     memory_quarantine: float = 0.2

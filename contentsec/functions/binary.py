@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from contentsec.patterns import EXIF_TAGS
+
 PNG = b"\x89PNG\r\n\x1a\n"
-EXIF_TAGS = {0x010E: "ImageDescription", 0x013B: "Artist", 0x8298: "Copyright", 0x9286: "UserComment", 0x0131: "Software"}
 
 
 def png_chunks(data: bytes) -> list[tuple[bytes, bytes]]:

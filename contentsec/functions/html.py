@@ -21,7 +21,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _INLINE = [re.compile(p, re.IGNORECASE) for p in patterns.HIDDEN_CSS[:4]]
 _RULE = [re.compile(p, re.IGNORECASE) for p in patterns.HIDDEN_CSS]
-COUNTED = ("div", "script", "link", "form", "iframe")
+_TOGETHER = [[re.compile(p, re.IGNORECASE) for p in both] for both in patterns.HIDDEN_INLINE]
 
 PAGE = (
     "struct<elements:array<struct<tag:string,attrs:map<string,string>,classes:array<string>,text:string,hidden_inline:boolean>>,"
@@ -51,8 +51,7 @@ _ARROW = pa.struct(
 
 def hides(style: str) -> bool:
     """Whether an inline style hides its element."""
-    low = style.lower()
-    return any(p.search(style) for p in _INLINE) or bool(re.search(r"height\s*:\s*0\b", low) and re.search(r"overflow\s*:\s*hidden", low)) or bool(re.search(r"position\s*:\s*absolute", low) and re.search(r"left\s*:\s*-\d{4,}", low)) or bool(re.search(r"clip\s*:\s*rect\s*\(\s*0", low))
+    return any(p.search(style) for p in _INLINE) or any(all(p.search(style) for p in both) for both in _TOGETHER)
 
 
 class _Page(HTMLParser):
@@ -64,7 +63,7 @@ class _Page(HTMLParser):
         self.scripts: list[str] = []
         self.styles: list[str] = []
         self.comments: list[str] = []
-        self.counts = dict.fromkeys(COUNTED, 0)
+        self.counts = dict.fromkeys(patterns.COUNTED, 0)
         self.skip = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -156,7 +155,7 @@ def page_features(html: str) -> dict:
     return {
         "elements": elements, "hidden_classes": hidden, "scripts": page.scripts, "css_variables": list(variables.items()),
         "fragments": [*page.comments, *(t for t in aria if len(t) >= 3), *styled], "foreign_objects": objects, "images": images, "visible_text": visible,
-        "tag_counts": [(t, page.counts[t]) for t in COUNTED], "meta_signatures": sorted(set(metas)), "canonical": canonical, "og": list(og.items()),
+        "tag_counts": [(t, page.counts[t]) for t in patterns.COUNTED], "meta_signatures": sorted(set(metas)), "canonical": canonical, "og": list(og.items()),
     }
 
 

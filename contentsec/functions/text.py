@@ -72,7 +72,7 @@ def matched_patterns(text: Column, these: Iterable[str]) -> Column:
 
 def unmask(text: Column) -> Column:
     """Lookalike letters replaced by Latin ones."""
-    return F.when(text.rlike("[^\\x00-\\x7F]"), F.translate(text, *patterns.LOOKALIKES)).otherwise(text)
+    return F.when(text.rlike("[^\\x00-\\x7F]"), F.translate(text, "".join(patterns.LOOKALIKES), "".join(patterns.LOOKALIKES.values()))).otherwise(text)
 
 
 @functools.cache

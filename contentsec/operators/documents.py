@@ -12,7 +12,6 @@ from contentsec.functions.binary import calendars, pdfs, workbooks
 from contentsec.operators.signals import CONTROL, INJECTION, joined, signal, some
 
 DETECTOR = "document_scanner"
-EXTENSIONS = {"pdf": ("pdf",), "zip": ("xlsx", "xlsm", "xls", "docx", "pptx", "zip"), "ics": ("ics", "ical")}
 
 
 def _signal(name: str, confidence: float | Column, evidence: Column, trap: str = INJECTION, raw: Column | None = None) -> Column:
@@ -32,7 +31,7 @@ def kind(data: Column, config: Config = Config()) -> Column:  # noqa: B008
 
 def mismatch(data: Column, filename: Column, config: Config = Config()) -> Column:  # noqa: B008
     extension = F.lower(F.regexp_extract(filename, r"\.([^.]+)$", 1))
-    known = F.create_map(*(x for k, v in EXTENSIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    known = F.create_map(*(x for k, v in patterns.EXTENSIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     of = kind(data, config)
     return some(F.when((extension != "") & of.isNotNull() & ~F.array_contains(known[of], extension), _signal("document_extension_mismatch", 0.45, F.concat(of, F.lit(" named ."), extension))))
 

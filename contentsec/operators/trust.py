@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contentsec import patterns
 from contentsec.config import Config
 
 BOOST_OVER, BOOST, STEP, AMPLIFY = 0.85, 1.5, 0.3, 1.3
-ACTIONS = (("GREEN", "ALLOW"), ("YELLOW", "ALLOW_WITH_WARNING"), ("RED", "BLOCK"), ("QUARANTINE", "QUARANTINE"))
 
 
 def weight(detector: Column, config: Config) -> Column:
@@ -33,7 +33,7 @@ def tier(score: Column, config: Config) -> Column:
 
 
 def action(tier_col: Column) -> Column:
-    return F.create_map(*(F.lit(x) for pair in ACTIONS for x in pair))[tier_col]
+    return F.create_map(*(F.lit(x) for pair in patterns.TIER_ACTIONS for x in pair))[tier_col]
 
 
 def _clamped(total: Column) -> Column:

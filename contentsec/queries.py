@@ -44,6 +44,10 @@ def _lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def _among(values: tuple[str, ...]) -> str:
+    return "(" + ", ".join(map(_lit, values)) + ")"
+
+
 def _re(pattern: str, any_case: bool = True) -> str:
     """A pattern as an SQL literal for RE2."""
     return _lit(("(?i)" if any_case else "") + pattern)
@@ -62,7 +66,7 @@ def _first(column: str, these: tuple[str, ...]) -> str:
     return "coalesce(" + ", ".join(_substr(column, p) for p in these) + ")"
 
 
-_UNMASKED = f"translate(body, {_lit(patterns.LOOKALIKES[0])}, {_lit(patterns.LOOKALIKES[1])})"
+_UNMASKED = f"translate(body, {_lit("".join(patterns.LOOKALIKES))}, {_lit("".join(patterns.LOOKALIKES.values()))})"
 _PT, _PP = f"({planted.PLANTED_TEXT}) AS t", f"({planted.PLANTED_PAGES}) AS t"
 _CAP = "|".join(patterns.CAPABILITY)
 _FRAME = "|".join(patterns.FRAMING)
@@ -330,9 +334,9 @@ def signal_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH a AS ({planted.ACTIONS}), v AS (SELECT *, CASE
-  WHEN action_type IN ('change_permissions', 'execute_code', 'modify_system_prompt', 'send_email', 'spawn_agent') THEN 'always'
-  WHEN action_type NOT IN ('click', 'fetch_url', 'read_file', 'scroll', 'search', 'summarize', 'type', 'write_file') THEN 'unknown'
-  WHEN trust_tier = 'QUARANTINE' THEN 'quarantine' WHEN trust_tier = 'RED' AND action_type NOT IN ('read_file', 'summarize') THEN 'red' ELSE 'allowed' END AS why FROM a)
+  WHEN action_type IN {_among(patterns.BLOCKED_ACTIONS)} THEN 'always'
+  WHEN action_type NOT IN {_among(patterns.ALLOWED_ACTIONS)} THEN 'unknown'
+  WHEN trust_tier = 'QUARANTINE' THEN 'quarantine' WHEN trust_tier = 'RED' AND action_type NOT IN {_among(patterns.RED_ALLOWED)} THEN 'red' ELSE 'allowed' END AS why FROM a)
 SELECT action_type, trust_tier, why = 'allowed' AS allowed, count(*) AS n FROM v GROUP BY ALL""")
 def action_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return actions.validate(planted.view(spark, sf_dir, planted.ACTIONS)).groupBy("action_type", "trust_tier", "allowed").agg(F.count("*").alias("n"))
@@ -340,7 +344,7 @@ def action_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT * FROM (VALUES ('GREEN', 'click,fetch_url,read_file,scroll,search,summarize,type,write_file'), ('YELLOW', 'click,fetch_url,read_file,scroll,search,summarize,type,write_file'), ('RED', 'read_file,summarize'), ('QUARANTINE', '')) AS t(trust_tier, actions)""")
 def allowed_actions_setops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tiers = spark.createDataFrame([(t,) for t, _ in trust.ACTIONS], "trust_tier string")
+    tiers = spark.createDataFrame([(t,) for t, _ in patterns.TIER_ACTIONS], "trust_tier string")
     return tiers.select("trust_tier", F.array_join(actions.allowed_at(F.col("trust_tier")), ",").alias("actions"))
 
 
@@ -374,7 +378,7 @@ _SINGLE = f"len(list_filter({_LABELS}, lambda x: length(x) > 25 AND len(list_dis
 
 
 @query(f"""WITH o AS ({planted.OUTBOUND}) SELECT req_id, {_SINGLE} AS single, {_LONG} >= 3 AS chain,
-  NOT {_SINGLE} AND {_LONG} BETWEEN 1 AND 2 AND {_LABELS}[-1] IN ('cc', 'cf', 'ga', 'gq', 'info', 'ml', 'ru', 'tk', 'top', 'xyz') AS tld FROM o""")
+  NOT {_SINGLE} AND {_LONG} BETWEEN 1 AND 2 AND {_LABELS}[-1] IN {_among(patterns.TUNNEL_TLDS)} AS tld FROM o""")
 def dns_tunnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exfiltration.dns_tunnel(F.col("url"))
     any_of = lambda s: F.exists(found, lambda m: m.contains(s))
@@ -408,7 +412,7 @@ _PII_ANY = " OR ".join(f"regexp_matches(body, {_re(p)})" for _, p in patterns.PI
 
 
 @query(f"""WITH o AS ({planted.OUTBOUND}) SELECT req_id, NOT ({_HOST} <> 'api.trusted.com' OR {_PII_ANY} OR {_SINGLE} OR {_LONG} >= 3
-  OR ({_LONG} >= 1 AND {_LABELS}[-1] IN ('cc', 'cf', 'ga', 'gq', 'info', 'ml', 'ru', 'tk', 'top', 'xyz')) OR regexp_matches({_PATH} || '?' || {_QUERY}, {_re(patterns.URL_HEX)}) OR regexp_matches({_PATH}, {_re(patterns.URL_BASE64, False)})) AS safe FROM o""")
+  OR ({_LONG} >= 1 AND {_LABELS}[-1] IN {_among(patterns.TUNNEL_TLDS)}) OR regexp_matches({_PATH} || '?' || {_QUERY}, {_re(patterns.URL_HEX)}) OR regexp_matches({_PATH}, {_re(patterns.URL_BASE64, False)})) AS safe FROM o""")
 def outbound_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exfiltration.check(planted.view(spark, sf_dir, planted.OUTBOUND), Config(allowed_domains=("api.trusted.com",))).select("req_id", "safe")
 
