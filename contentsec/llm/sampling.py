@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from contentsec.llm.common import materialize
+
 
 def remainder(id_col: str, of: int):
     """crc32 of the id as text (a null id as empty text), modulo `of`."""
@@ -12,6 +14,13 @@ def remainder(id_col: str, of: int):
 
 
 def bounded(rows: DataFrame, label: str, most: int, id_col: str = "doc_id") -> DataFrame:
-    """At most `most` rows of each label, in order of a hash of the id; the limit holds before anything is shuffled."""
-    order = Window.partitionBy(label).orderBy(F.md5(F.col(id_col).cast("string")), id_col)
-    return rows.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= most).drop("_place")
+    """At most `most` rows of each label that isn't null, those with the least hash of the id.
+
+    A label's rows are counted first; only hashes so small that about 2 * most rows have them reach the window, so its
+    input doesn't grow with the table."""
+    sizes = materialize(rows.groupBy(F.col(label).alias("_of")).agg(F.count("*").alias("_size")), "label-sizes")
+    h = F.md5(F.col(id_col).cast("string"))
+    share = F.conv(F.substring(h, 1, 12), 16, 10).cast("double") / 16**12
+    few = rows.join(sizes, F.col(label) == F.col("_of")).filter(share * F.col("_size") < 2 * most).drop("_of", "_size")
+    order = Window.partitionBy(label).orderBy(h, id_col)
+    return few.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= most).drop("_place")

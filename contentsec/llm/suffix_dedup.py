@@ -78,8 +78,6 @@ def anchored(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return first, np.diff(np.append(first, windows)), at[first] - first, gram[at[first]]
 
 
-
-
 def occurrences(docs: DataFrame) -> DataFrame:
     """(doc_id, k, h, c, s, n, a) of each anchor of docs(doc_id, text); k names the text, c the bytes of the run."""
 
