@@ -118,8 +118,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, whole and with all their columns: of equal texts that of the largest doc_id (of
-    repeated rows with that id, each stays; identical whole rows are the caller's to drop)."""
+    repeated rows with that id, each stays; identical whole rows are the caller's to drop).
+
+    Copies are a share of the corpus, so at scale their table is too large to be broadcast; it is hashed by partition at
+    every size, and the texts move once, unsorted."""
     kept = materialize(exact_groups(docs, id_col, text_col).filter("not kept").select("doc_id", "text_sha256"), "dropped")
     key = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)
-    gone = kept.select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).distinct()
+    gone = kept.select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).distinct().hint("shuffle_hash")
     return docs.join(gone, F.col(id_col).cast("bigint").eqNullSafe(F.col("_gone_id")) & (key == F.col("_gone_sha")), "left_anti")
