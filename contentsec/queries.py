@@ -129,7 +129,7 @@ def sanitize_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def homoglyph_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
     masked = F.translate("body", "iope", "іоре")
-    rows = texts(spark, sf_dir).filter("plant = 0").select("content_id", masked.alias("masked"))
+    rows = texts(spark, sf_dir).select("content_id", masked.alias("masked"))
     return rows.select("content_id", T.first_match(T.normalize(F.col("masked")), patterns.KEYWORDS).alias("hit"))
 
 
