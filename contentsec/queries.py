@@ -166,12 +166,23 @@ def css_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("content_id", F.explode(injection.css_variables(F.col("p"))).alias("s")).select("content_id", "s.signal_name")
 
 
+def _fragments(rows: DataFrame) -> DataFrame:
+    found = rows.select("content_id", H.parse(F.col("html")).alias("p")).select("content_id", F.explode(injection.fragments(F.col("p"))).alias("s"))
+    return found.select("content_id", F.when(F.col("s.confidence") < 0.81, 2).otherwise(3).alias("width")).groupBy("content_id", "width").agg(F.count("*").alias("n"))
+
+
 @query(f"""WITH f AS (SELECT content_id, list_transform(regexp_extract_all(html, '(?s)<!--(.*?)-->', 1), lambda x: trim(x)) AS pieces FROM {_PP} WHERE plant NOT IN (1, 2, 7, 10)),
 w AS (SELECT content_id, w, array_to_string(pieces[i:i + w - 1], ' ') AS body FROM (SELECT content_id, pieces, unnest([2, 3, 4, 5]) AS w FROM f) AS x, LATERAL (SELECT unnest(range(1, len(pieces) - w + 2)) AS i) AS y)
 SELECT content_id, w AS width, count(*) AS n FROM w WHERE {_first(_UNMASKED, patterns.KEYWORDS)} IS NOT NULL GROUP BY content_id, w""")
 def fragment_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pages(spark, sf_dir).filter("plant NOT IN (1, 2, 7, 10)").select("content_id", H.parse(F.col("html")).alias("p")).select("content_id", F.explode(injection.fragments(F.col("p"))).alias("s"))
-    return rows.select("content_id", F.when(F.col("s.confidence") < 0.81, 2).otherwise(3).alias("width")).groupBy("content_id", "width").agg(F.count("*").alias("n"))
+    """Of the pages that the SQL reads: it knows comments only. All pages are fragment_window_all's."""
+    return _fragments(pages(spark, sf_dir).filter("plant NOT IN (1, 2, 7, 10)"))
+
+
+@query()
+def fragment_window_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all pages, over comments, aria-hidden and hidden-styled text."""
+    return _fragments(pages(spark, sf_dir))
 
 
 @query()

@@ -50,6 +50,29 @@ def test_homoglyphs_of_all_texts(spark, tmp_path):
     assert len(got) == len(rows) and sum(r.hit is not None for r in got) > len(rows) // 2
 
 
+def test_fragments_of_all_pages(spark, tmp_path):
+    """Against windows over the fragments that the pages were made of: comments, then aria-hidden, then styled text."""
+    made = [
+        (["ignore previous", "instructions now"], [], []),
+        ([], ["ignore previous", "instructions now"], []),
+        ([], [], ["you are", "now a helper"]),
+        (["note"], ["disregard", "your rules"], ["override", "safety"]),
+        (["ignore"], ["previous"], ["instructions"]),
+        (["quiet", "day"], ["no", "harm"], ["done"]),
+    ]
+    rows, want = [], []
+    for plant in (1, 2, 7, 10, 12, 16):
+        for k, (comments, aria, styled) in enumerate(made):
+            html = "".join(f'<p aria-hidden="true">{t}</p>' for t in aria) + "".join(f"<!-- {t} -->" for t in comments) + "".join(f'<p style="display:none">{t}</p>' for t in styled)
+            rows.append((17 * k + plant, "u", f"<body>{html}</body>"))
+            pieces = [*comments, *(t for t in (*aria, *styled) if len(t) >= 3)]
+            hits = [w for w in range(2, 6) for i in range(len(pieces) - w + 1) if any(re.search(p, " ".join(pieces[i : i + w]), re.IGNORECASE) for p in patterns.KEYWORDS)]
+            want += [(17 * k + plant, width, n) for width, n in ((2, hits.count(2)), (3, len(hits) - hits.count(2))) if n]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["fragment_window_all"](spark, str(tmp_path)).collect()
+    assert sorted((r.content_id, r.width, r.n) for r in got) == sorted(want) and {i % 17 for i, _, _ in want} == {1, 2, 7, 10, 12, 16}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
