@@ -5,7 +5,9 @@ block elements from the root to it. Over all blocks of a path, the text length a
 aggregated, smoothed along the page, fused into one score and compared to a threshold, which selects content nodes.
 The smallest element around all content nodes is the article; where that is no more than the body, only the selected
 blocks and the headings in front of them stay. Elements whose tag, role, class or id names a menu, header, footer,
-sidebar, notice, advert, form or comment section are left out with all they hold, as are scripts and styles.
+sidebar, notice, advert, form or comment section are left out with all they hold, as are scripts and styles. A class or
+id names it only as a whole word. Such an element stays if it holds the main element, or, on a page without an article
+or main element elsewhere, most of the page's text or an article longer than all that is outside.
 
 Null html is empty and gives an empty text. Broken markup never raises: unclosed elements end with their parents, end
 tags without a start are skipped, an unfinished comment or tag ends the page. Pages are read whole; rows are
@@ -32,10 +34,14 @@ BLOCK = frozenset("html head body address article aside blockquote caption cente
 #: Elements whose content is no markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math canvas object video audio".split())
 OUT = frozenset("head nav aside footer form menu dialog search button select datalist fieldset input label".split()) | RAW
+#: Elements of RAW that may be empty and end with their start tag, as foreign elements do.
+EMPTY = frozenset("svg math".split())
+#: Left out whatever share of the text they hold.
+NEVER = frozenset("select datalist button".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KEPT = frozenset("html body article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form status note".split())
-NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|sponsor\w*|promo\w*|banner|side-?bar|side|nav\w*|menu\w*|site-?header|page-?header|masthead|foot\w*|comments?\w*|disqus\w*|repl(?:y|ies)|respond|cookies?\w*|consent|gdpr|notices?|alerts?|pop-?up|modal|overlay|newsletter|subscri\w*|sign-?up|log-?in|shar\w+|social\w*|related\w*|recommend\w*|breadcrumbs?|paginat\w*|pager|widgets?|disclaimer|copyright|toolbar|tags|skip\w*|search\w*|form)(?=$|[\s_-])", re.IGNORECASE)
+NAMES = re.compile(r"(?:^|\s)(?:ads?|adverts?|advertis\w*|sponsor\w*|promo\w*|banner|side-?bar|side|nav\w*|menu\w*|site-?header|page-?header|masthead|foot\w*|comments?\w*|disqus\w*|repl(?:y|ies)|respond|cookies?\w*|consent|gdpr|notices?|alerts?|pop-?up|modal|overlay|newsletter|subscri\w*|sign-?up|log-?in|shar\w+|social\w*|related\w*|recommend\w*|breadcrumbs?|paginat\w*|pager|widgets?|disclaimer|copyright|toolbar|tags|skip\w*|search\w*|form)(?=$|\s)", re.IGNORECASE)
 _CLOSES_P = BLOCK - frozenset("html head body caption tbody td tfoot th thead tr title option optgroup legend summary figcaption".split())
 _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("tr", "td", "th", "thead"), "tfoot": ("tr", "td", "th", "tbody")}
 _SCOPE = frozenset("html body table ul ol dl div article section main aside nav header footer form blockquote".split())
@@ -44,32 +50,63 @@ _MARKS = ".,;:!?…。，、！？"
 REACH, SHARE = 1, 0.25
 
 
-def _hidden(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is left out; inside: it stands in an article."""
-    if name in OUT or name == "header" and not inside:
-        return True
+def _hidden(name: str, attributes: str, inside: bool) -> int:
+    """0 if an element stays, 1 if it is left out, 2 if that doesn't depend on its text; inside: it stands in an article."""
+    if name in NEVER:
+        return 2
+    out = int(name in OUT or name == "header" and not inside)
     if name in KEPT or len(attributes) < 5:
-        return False
+        return out
     for m in _ATTR.finditer(attributes):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if key in ("class", "id") and NAMES.search(value) or key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-            return True
-    return False
+        if key == "hidden" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
+            return 2
+        if key in ("class", "id") and NAMES.search(value) or key == "role" and value.lower() in ROLES or key == "aria-hidden" and value.lower() == "true":
+            out = 1
+    return out
+
+
+def _staying(found: list[tuple[str, tuple[int, ...], tuple[str, ...], tuple[tuple[int, int], ...]]]) -> list[tuple[str, tuple[int, ...], tuple[str, ...]]]:
+    """The blocks outside left-out elements, and those inside the ones that hold the page's article."""
+    if not any(x[3] for x in found):
+        return [x[:3] for x in found]
+    outside = sum(len(x[0]) for x in found if not x[3])
+    total = sum(len(x[0]) for x in found if all(kind == 1 for _, kind in x[3]))
+    spare = any(not x[3] and ("article" in x[2] or "main" in x[2]) for x in found)
+    held: dict[int, int] = {}
+    articles: dict[int, int] = {}
+    stay: set[int] = set()
+    for text, ids, path, outs in found:
+        main = max((i for i, name in zip(ids, path, strict=True) if name == "main"), default=-1)
+        article = max((i for i, name in zip(ids, path, strict=True) if name == "article"), default=-1)
+        shown = all(kind == 1 for _, kind in outs)
+        for number, _ in outs:
+            if main > number:
+                stay.add(number)
+            if shown:
+                held[number] = held.get(number, 0) + len(text)
+                articles[number] = articles.get(number, 0) + (article > number) * len(text)
+    if not spare and not stay:
+        stay = {n for n, size in held.items() if 2 * size > total or articles[n] > outside}
+    return [x[:3] for x in found if all(number in stay for number, _ in x[3])]
 
 
 def page_blocks(page: str) -> list[tuple[str, tuple[int, ...], tuple[str, ...]]]:
     """(text, numbers of the elements around it, their names) of each block that isn't left out, in page order."""
-    found: list[tuple[str, tuple[int, ...], tuple[str, ...]]] = []
-    stack: list[tuple[str, int, bool]] = []  # name, number, whether it is left out
-    pieces: list[str] = []
+    found: list[tuple[str, tuple[int, ...], tuple[str, ...], tuple[tuple[int, int], ...]]] = []
+    stack: list[tuple[str, int, tuple[tuple[int, int], ...]]] = []  # name, number, left-out elements that it is in or is
+    pieces: list[tuple[str, tuple[tuple[int, int], ...]]] = []
     number, at, articles = 0, 0, 0
 
     def end_block() -> None:
         if pieces:
-            text = " ".join(entities.unescape("".join(pieces)).split())
+            apart: dict[tuple[tuple[int, int], ...], list[str]] = {}  # left-out inline elements don't split the text around them
+            for piece, outs in pieces:
+                apart.setdefault(outs, []).append(piece)
             pieces.clear()
-            if text and not (stack and stack[-1][2]):
-                found.append((text, tuple(x[1] for x in stack if x[0] in BLOCK), tuple(x[0] for x in stack if x[0] in BLOCK)))
+            for outs, own in apart.items():
+                if text := " ".join(entities.unescape("".join(own)).split()):
+                    found.append((text, tuple(x[1] for x in stack if x[0] in BLOCK), tuple(x[0] for x in stack if x[0] in BLOCK), outs))
 
     def pop_to(depth: int) -> None:
         nonlocal articles
@@ -88,8 +125,8 @@ def page_blocks(page: str) -> list[tuple[str, tuple[int, ...], tuple[str, ...]]]
                 return
 
     while m := _TOKEN.search(page, at):
-        if m.start() > at and not (stack and stack[-1][2]):
-            pieces.append(page[at : m.start()])
+        if m.start() > at:
+            pieces.append((page[at : m.start()], stack[-1][2] if stack else ()))
         at = m.end()
         if not (name := m[2]):
             continue
@@ -105,7 +142,7 @@ def page_blocks(page: str) -> list[tuple[str, tuple[int, ...], tuple[str, ...]]]
                     break
             continue
         if name in ("br", "hr"):
-            pieces.append("\n")
+            pieces.append(("\n", stack[-1][2] if stack else ()))
         if name in BLOCK:
             end_block()
             if name in _CLOSES_P:
@@ -113,7 +150,7 @@ def page_blocks(page: str) -> list[tuple[str, tuple[int, ...], tuple[str, ...]]]
             if name in _SIBLINGS:
                 for _ in range(3):
                     close(_SIBLINGS[name], frozenset(("table", "ul", "ol", "dl", "html", "body", "select")))
-        if name in VOID or m[3].endswith("/>") and name not in BLOCK and name not in RAW:
+        if name in VOID or m[3].endswith("/>") and name not in BLOCK and name not in RAW - EMPTY:
             continue
         if name in RAW:
             over = re.compile(f"</{re.escape(name)}(?=[\\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
@@ -121,11 +158,14 @@ def page_blocks(page: str) -> list[tuple[str, tuple[int, ...], tuple[str, ...]]]
             continue
         number += 1
         articles += name in ("article", "main")
-        stack.append((name, number, bool(stack and stack[-1][2]) or _hidden(name, m[3], articles > (name in ("article", "main")))))
-    if at < len(page) and not (stack and stack[-1][2]):
-        pieces.append(page[at:])
+        outs = stack[-1][2] if stack else ()
+        if (kind := _hidden(name, m[3], articles > (name in ("article", "main")))):
+            outs = (*outs, (number, kind))
+        stack.append((name, number, outs))
+    if at < len(page):
+        pieces.append((page[at:], stack[-1][2] if stack else ()))
     end_block()
-    return found
+    return _staying(found)
 
 
 def main_text(page: str) -> str:

@@ -366,6 +366,24 @@ def test_main_text(html, text):
     assert html_extract.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<div class='content has-sidebar'><main><p>One, two.</p></main><div class='sidebar'>Side.</div></div>", "One, two."),
+        ("<div id='content-sidebar-wrap'><article><p>One, two.</p></article></div><footer>foot</footer>", "One, two."),
+        ("<body class='no-sidebar'><div class='no-sidebar'><p>One, two.</p><p>Three, four.</p></div>", "One, two.\n\nThree, four."),
+        ("<div class='sidebar'><main><p>One, two.</p></main></div>", "One, two."),
+        ("<form><div><p>A long text, in a form that is the page.</p><p>More of it, and more.</p></div></form><nav>x</nav>", "A long text, in a form that is the page.\n\nMore of it, and more."),
+        ("<p>One, two.<svg width='1'/> three.</p><math/><p>Four, five.</p>", "One, two. three.\n\nFour, five."),
+        ("<article><p>Short.</p></article><div class='comments'><article>" + "Long, long talk. " * 20 + "</article></div>", "Short."),
+        ("<p>Seen, and read.</p><div style='display:none'>" + "Hidden, never. " * 20 + "</div>", "Seen, and read."),
+        ("<p>a <span class='sidebar'>side</span> b, and more of the text here.</p>", "a b, and more of the text here."),
+    ],
+)
+def test_side_content_holds_no_article(html, text):
+    assert html_extract.main_text(html) == text
+
+
 def test_extraction_of_awkward_rows(spark):
     rows = [(1, "u", None), (1, "u", None), (None, None, "<p>x"), (2, "v", "<p>" + LONG), (3, "w", "<" * 2000), (4, "w", "<div>" * 3000 + "deep, text."), (5, "w", '<a href="' * 500)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit(1))
