@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from contentsec.llm.common import blocks, flat, id_and_text
 from contentsec.llm.sampling import bounded, remainder
 
-GRAMS, UNIT, SAMPLE, ROUNDS, LARGEST, PENALTY = 1 << 16, 64, 1000, 12, 3, 2.0
+GRAMS, UNIT, SAMPLE, ROUNDS, PENALTY = 1 << 16, 64, 1000, 12, 2.0
 
 
 def _classes() -> np.ndarray:
@@ -92,7 +92,7 @@ class Model:
         share, _ = fitted(np.ones((n, width)))
         place = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1, kind="stable")
         best, most = np.zeros((n, width)), np.full(n, -np.inf)
-        for k in range(1, min(LARGEST, width) + 1):
+        for k in range(1, width + 1):
             found, value = fitted((place < k).astype(float))
             value = value - PENALTY * k * np.log(units[:, 0] + 1)
             better = value > most

@@ -142,6 +142,13 @@ def test_language_mixture(spark, data):
     assert {x.split(":")[0] for x in row.mixture.split(",")} == {"de", "fr"} and 0.3 < row.score < 0.7
 
 
+def test_language_mixture_of_four(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    parts = [docs.filter(f"lang = '{x}' and n_chars > 1500").first().text[:1500] for x in ("en", "fr", "de", "es")]
+    row = language_id.predict(documents(spark, [(1, " ".join(parts), None, None)]), language_id.fit(docs)).first()
+    assert {x.split(":")[0] for x in row.mixture.split(",")} == {"en", "fr", "de", "es"} and 0.2 < row.score < 0.31
+
+
 def test_language_of_awkward_rows(spark, awkward, empty, data):
     model = language_id.fit(spark.read.parquet(f"{data}/documents.parquet"))
     got = language_id.predict(awkward, model).collect()
