@@ -13,13 +13,14 @@ its 65 values within 1 bit; such a group has 65 members at most, all linked to e
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contentsec.llm.common import blocks, id_and_text, materialize
@@ -47,15 +48,17 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * counts > len(starts), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp bigint). Null and blank texts have 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+    """(doc_id, fp bigint), and text_sha256 if digests. Null and blank texts have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches):
-            found = np.array([fingerprint(t) for t in part.column("text").cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.record_batch([part.column("doc_id"), pa.array(found.view(np.int64), pa.int64())], ["doc_id", "fp"])
+            texts = part.column("text").cast(pa.binary()).to_pylist()
+            found = np.array([fingerprint(t) for t in texts], np.uint64)
+            sums = [pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())] if digests else []
+            yield pa.record_batch([part.column("doc_id"), pa.array(found.view(np.int64), pa.int64()), *sums], ["doc_id", "fp", "text_sha256"][: 2 + digests])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, fp bigint")
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, fp bigint" + ", text_sha256 string" * digests)
 
 
 def bit_counts(prints: DataFrame) -> tuple[int, np.ndarray]:
@@ -186,16 +189,26 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blank texts have fingerprint zero and are linked like any other. Null ids are never the smallest; a component of
     only null ids has a null component_id. Repeated rows share a fingerprint. An empty table gives no rows."""
     made = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
+    rows = made.join(_leasts(made, F.col("doc_id"), bucket), F.col("fp") == F.col("shared_fp"), "left")
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("shared_fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _leasts(made: DataFrame, row: Column, bucket: int) -> DataFrame:
+    """(shared_fp, component_id): the least row of the component, for each fingerprint in made that several rows share
+    or that is linked."""
+    distinct = materialize(made.groupBy("fp").agg(F.min(row).alias("least"), F.count("*").alias("n")), "distinct")
     of = materialize(components(materialize(links(distinct, choose(distinct), bucket), "near")), "components")
     linked = distinct.join(of, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component"), "node")
     smallest = materialize(linked.filter("node is not null").groupBy(F.col("component").alias("c")).agg(F.min("least").alias("component_least")), "smallest")
-    shared = materialize(linked.filter("node is not null or n > 1").join(smallest, F.col("component") == F.col("c"), "left").select(F.col("fp").alias("shared_fp"), F.coalesce("component_least", "least").alias("component_id")), "shared")
-    rows = made.join(shared, F.col("fp") == F.col("shared_fp"), "left")
-    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("shared_fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return materialize(linked.filter("node is not null or n > 1").join(smallest, F.col("component") == F.col("c"), "left").select(F.col("fp").alias("shared_fp"), F.coalesce("component_least", "least").alias("component_id")), "shared")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, whole: of each component those of the smallest doc_id."""
-    gone = materialize(near_groups(docs, id_col, text_col).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col(id_col).cast("bigint") == F.col("_gone"), "left_anti")
+    """The rows of docs that stay, whole: of each component that of the smallest (doc_id, fingerprint, SHA-256 of the
+    text), a null doc_id being larger than any other. Of repeated rows with that same id and text, each stays."""
+    made = materialize(fingerprints(docs, id_col, text_col, digests=True), "fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "text_sha256")
+    rows = made.join(_leasts(made, row, BUCKET), F.col("fp") == F.col("shared_fp"))
+    gone = rows.filter(~row.eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha")).distinct()
+    key = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+    return docs.join(materialize(gone, "gone"), F.col(id_col).cast("bigint").eqNullSafe(F.col("_gone")) & (key == F.col("_gone_sha")), "left_anti")

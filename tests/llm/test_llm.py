@@ -543,5 +543,21 @@ def test_pipeline_stages(spark, data, docs, tiktoken_ids):
     assert collections.Counter((r.doc_id, r.decoded_sha256, r.n_tokens) for r in final) == want
 
 
+def test_near_copies_go_by_row(spark):
+    near = ["the quick brown fox jumps over the lazy dog " * 30 + x for x in ("", " ", "  ")]
+    other, third = "an unlike text about ships, sails and harbours, with winds from the north " * 30, "numbers 1 2 3 and some more about mountains, snow and the long way down " * 30
+    assert len({brute_fingerprint(t) for t in near}) == 1 and len(set(brute_components([brute_fingerprint(t) for t in (near[0], other, third)]))) == 3
+
+    def kept(rows):
+        return sorted(((r.doc_id, r.text) for r in simhash.keep_one(documents(spark, [(i, t, None, None) for i, t in rows])).collect()), key=repr)
+
+    least = min(near, key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    assert kept([(1, near[0]), (5, near[1]), (5, other)]) == [(1, near[0]), (5, other)]
+    assert kept([(7, near[0]), (None, near[1]), (None, near[2]), (None, third)]) == sorted([(7, near[0]), (None, third)], key=repr)
+    assert kept([(None, t) for t in near] + [(None, other)]) == sorted([(None, least), (None, other)], key=repr)
+    rows = [(2, near[0]), (2, near[0]), (2, near[1])]
+    assert kept(rows) == [x for x in rows if x[1] == min(near[:2], key=lambda t: hashlib.sha256(t.encode()).hexdigest())]
+
+
 def test_pipeline_runs_whole(spark, data):
     assert corpus_pipeline.run(spark, data).count() > 100
