@@ -1,16 +1,20 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-A block of texts is one corpus: the distinct pre-tokens that have no known encoding are laid out side by side, and an
-index of their adjacent pairs, by the rank of the pair's merge and its position, is replayed in rank order over all
-words at once. A merge touches only its own position and updates only the two neighbouring pairs. Words share no
-position, so each step applies at once, in every word, the merge that comes next there; that gives what one merge after
-the other over the whole corpus gives. In a long word steps would be many, so its index is a queue of ranks with the
-positions of each, replayed rank by rank.
-Encodings of words are kept in a bounded table for the following blocks. No shuffle: words that several tasks meet
-are encoded once in each Python worker.
-
-Null text counts as empty (no tokens). Rows are independent, so repeated rows, ties and empty tables need no care;
-null ids pass through. A very long text is cut into runs of whole pre-tokens, never truncated.
+The corpus is the set of distinct pre-tokens of all texts. Rows are read in blocks of about BLOCK text bytes; each block
+hands out its distinct words, dealt by a hash of the word into slices, and each slice is encoded in one task, so a word
+is encoded once however many blocks hold it. A slice's words are laid out side by side with an inverted index from the
+rank of a pair's merge to its positions. The index is replayed in rank order over all words at once: a merge touches its
+own position only and updates the two pairs next to it. The encodings go back to the blocks that asked for them, where
+each text's ids are put together. Words that are entries of the vocabulary, among them all that are frequent in usual
+text, are their own encoding and aren't moved; the vocabulary bounds them.
+
+Three shuffles: words by slice and encodings by block (a block's distinct words, packed), and each block's packed text
+to its encodings. No task holds more than a block, its distinct words, and SLICE words with their index at once.
+
+A block is named by its place in the input, so a lost task must read the same rows again, as scans of files do; a block
+whose encodings don't fit its words raises an error. Null text counts as empty (no tokens). Rows are independent, so
+repeated rows, ties and empty tables need no care; null ids pass through. A very long text is a block of its own, cut
+into runs of whole pre-tokens, never truncated.
 """
 
 from __future__ import annotations
@@ -20,28 +24,30 @@ import base64
 import functools
 import heapq
 import itertools
-from collections.abc import Iterable, Iterator
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from contentsec.llm.common import blocks, id_and_text
+from contentsec.llm.common import blocks, flat, id_and_text
 
-#: Entries of the table of encoded words; it is emptied when full.
-WORDS_KEPT = 60_000
-#: Text bytes of a block: its pre-tokens are held at once.
-BLOCK = 1 << 20
-#: Characters from which a text is encoded in runs.
+#: Text bytes of a block, and text bytes that are decoded at once.
+BLOCK, PART = 8 << 20, 1 << 20
+#: Characters from which a text is cut into runs, and pre-tokens of a run.
 LONG_TEXT, RUN = 1 << 20, 1 << 16
-#: Bytes from which a word is replayed by itself.
-LONG_WORD = 64
-_NONE = 1 << 30
+#: Words of a slice that are replayed together, and encoded words that a task keeps for its later blocks.
+SLICE = 1 << 18
+_NONE = 1 << 40
 
 
 class Encoder:
-    """Ranks of one vocabulary, and the words encoded so far."""
+    """Ranks of one vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
@@ -55,144 +61,116 @@ class Encoder:
                     left.append(a)
                     right.append(b)
                     made.append(r)
-        keys = np.frombuffer(left, np.int64) << 32 | np.frombuffer(right, np.int64) if left else np.zeros(0, np.int64)
+        #: The rank of each pair's merge, under left * stride + right, as a table and sorted for look-ups in bulk.
+        self.stride = len(self.vocabulary)
+        keys = np.array(left, np.int64) * self.stride + np.array(right, np.int64)
         order = np.argsort(keys)
-        self.pair_keys, self.pair_ranks = keys[order], np.frombuffer(made, np.int64)[order] if left else np.zeros(1, np.int64)
+        self.pair_keys, self.pair_ranks = np.append(keys[order], _NONE), np.append(np.array(made, np.int64)[order], _NONE)
+        self.pairs = dict(zip(self.pair_keys[:-1].tolist(), self.pair_ranks[:-1].tolist(), strict=True))
         self.of_byte = [ranks.get(bytes([b]), -1) for b in range(256)]
         if min(self.of_byte) < 0:
             raise ValueError("the vocabulary lacks single bytes")
         self.pattern = regex.compile(pattern)
-        self.words: dict[str, bytes] = {}
-
-    def _rank(self, a: int, b: int) -> int | None:
-        return self.ranks.get(self.vocabulary[a] + self.vocabulary[b])
-
-    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The ranks of the merges of pairs, _NONE where there is none."""
-        key = a << 32 | b
-        at = np.minimum(np.searchsorted(self.pair_keys, key), max(len(self.pair_keys) - 1, 0))
-        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], _NONE) if len(self.pair_keys) else np.full(len(a), _NONE)
-
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """The encodings of the words, as little-endian unsigned 32-bit ids."""
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        short = [i for i, w in enumerate(raw) if 0 < len(w) < LONG_WORD]
-        out = [b""] * len(raw)
-        for i, ids in zip(short, self.replay([raw[i] for i in short]), strict=True):
-            out[i] = ids
-        for i, w in enumerate(raw):
-            if len(w) >= LONG_WORD:
-                out[i] = self.replay_long(w)
-        return out
+        #: Entries that are texts, with their own encoding.
+        self.entries: dict[str, bytes] = {}
+        for token, rank in ranks.items():
+            try:
+                self.entries[token.decode()] = rank.to_bytes(4, "little")
+            except UnicodeDecodeError:
+                continue
 
     def replay(self, words: list[bytes]) -> list[bytes]:
-        """Of words that aren't empty, all at once."""
+        """The encodings of words, none of them empty, as little-endian unsigned 32-bit ids."""
         if not words:
             return []
         sizes = np.array([len(w) for w in words])
-        ids = np.array(self.of_byte, np.int64)[np.frombuffer(b"".join(words), np.uint8)]
-        n = len(ids)
-        starts = np.cumsum(sizes) - sizes
-        final, gone = ids, np.zeros(n, bool)
-        # of the words that are still in work: positions in the whole, neighbours in the part (-1: none), ranks
-        here = np.arange(n)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
-        after[starts + sizes - 1] = -1
-        before[starts] = -1
-        rank = np.full(n, _NONE)
-        inner = np.flatnonzero(after >= 0)
-        rank[inner] = self._ranks(ids[inner], ids[inner + 1])
-        while True:
-            least = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), starts)
-            open_ = least >> 32 < _NONE
-            if not open_.any():
-                break
-            at = least[open_] & 0xFFFFFFFF
-            to = after[at]
-            new = rank[at]
-            final[here[at]] = new
-            gone[here[to]] = True
-            far = after[to]
-            after[at] = far
-            rank[to] = rank[at] = _NONE
-            with_far = far >= 0
-            before[far[with_far]] = at[with_far]
-            rank[at[with_far]] = self._ranks(new[with_far], final[here[far[with_far]]])
-            left = before[at]
-            with_left = left >= 0
-            rank[left[with_left]] = self._ranks(final[here[left[with_left]]], new[with_left])
-            if 2 * open_.sum() < len(open_):  # most words are done; go on with the others' remaining symbols
-                sizes = np.diff(np.append(starts, len(rank)))
-                stay = np.repeat(open_, sizes) & ~gone[here]
-                moved = np.cumsum(stay) - 1
-                after, before = (np.where(x[stay] >= 0, moved[x[stay]], -1) for x in (after, before))
-                here, rank = here[stay], rank[stay]
-                starts = np.flatnonzero(before < 0)
-        ends = np.cumsum([len(w) for w in words])
-        kept = np.cumsum(~gone)[ends - 1].tolist()
-        packed = final[~gone].astype("<u4").tobytes()
-        return [packed[4 * a : 4 * b] for a, b in zip([0, *kept[:-1]], kept, strict=True)]
-
-    def replay_long(self, word: bytes) -> bytes:
-        """Of one word, by a queue of ranks and an inverted index from rank to positions."""
-        ids = [self.of_byte[b] for b in word]
-        after, before = [*range(1, len(ids)), -1], list(range(-1, len(ids) - 1))
-        index: dict[int, list[int]] = {}
-        for at, to in enumerate(after):
-            if to >= 0 and (rank := self._rank(ids[at], ids[to])) is not None:
-                index.setdefault(rank, []).append(at)
+        ends = np.cumsum(sizes)
+        first = np.array(self.of_byte, np.int64)[np.frombuffer(b"".join(words), np.uint8)]
+        n = len(first)
+        # the inverted index: for each rank the positions, in order, whose pair merges to it
+        key = first[:-1] * self.stride + first[1:]
+        key[ends[:-1] - 1] = _NONE - 1  # a word's last symbol has no pair
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        rank = np.where(self.pair_keys[at] == key, self.pair_ranks[at], _NONE)
+        order = np.argsort(rank, kind="stable")
+        order = order[: np.searchsorted(rank[order], _NONE)]
+        cut = np.flatnonzero(np.diff(rank[order])) + 1
+        index = {int(rank[p[0]]): p.tolist() for p in np.split(order, cut) if len(p)}
+        word_of = np.repeat(np.arange(len(words)), sizes).tolist()
+        ids, after, before = first.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        for e in ends.tolist():
+            after[e - 1] = -1
+            if e < n:
+                before[e] = -1
+        get, stride = self.pairs.get, self.stride
         queue = list(index)
         heapq.heapify(queue)
-        gone = bytearray(len(ids))
         while queue:
-            rank = heapq.heappop(queue)
-            places = sorted(set(index.pop(rank, ())))
-            for k, at in enumerate(places):
-                if gone[at] or (to := after[at]) < 0 or self._rank(ids[at], ids[to]) != rank:
+            rank_ = heapq.heappop(queue)
+            places = index.pop(rank_, None)
+            if places is None:
+                continue
+            places.sort()
+            late: set[int] = set()  # words in which a lower rank has come up, which goes first there
+            for place in places:
+                to = after[place]
+                if to < 0 or get(ids[place] * stride + ids[to]) != rank_:
+                    continue
+                if late and word_of[place] in late:
+                    index.setdefault(rank_, []).append(place)
                     continue
-                ids[at], gone[to] = rank, 1
-                after[at] = far = after[to]
+                far = after[to]
+                ids[place], ids[to] = rank_, -_NONE
+                after[place], after[to] = far, -1
                 if far >= 0:
-                    before[far] = at
-                lower = False
-                for left in (before[at], at):
-                    if left >= 0 and (right := after[left]) >= 0 and (new := self._rank(ids[left], ids[right])) is not None:
-                        if new not in index:
-                            index[new] = []
+                    before[far] = place
+                    if (new := get(rank_ * stride + ids[far])) is not None:
+                        if new in index:
+                            index[new].append(place)
+                        else:
+                            index[new] = [place]
                             heapq.heappush(queue, new)
+                        if new < rank_:
+                            late.add(word_of[place])
+                left = before[place]
+                if left >= 0 and (new := get(ids[left] * stride + rank_)) is not None:
+                    if new in index:
                         index[new].append(left)
-                        lower |= new <= rank
-                if lower:  # that merge comes before the places left
-                    if rank not in index:
-                        index[rank] = []
-                        heapq.heappush(queue, rank)
-                    index[rank] += places[k + 1 :]
-                    break
-        return np.array(ids, "<u4")[np.frombuffer(gone, np.uint8) == 0].tobytes()
-
-    def learn(self, words: Iterable[str]) -> None:
-        if new := [w for w in words if w not in self.words]:
-            if len(self.words) + len(new) > WORDS_KEPT:
-                self.words.clear()
-            self.words.update(zip(new, self.encode_words(new), strict=True))
+                    else:
+                        index[new] = [left]
+                        heapq.heappush(queue, new)
+                    if new < rank_:
+                        late.add(word_of[place])
+            if rank_ in index:
+                heapq.heappush(queue, rank_)
+        final = np.array(ids, np.int64)
+        stay = final >= 0
+        kept = [0, *np.cumsum(stay)[ends - 1].tolist()]
+        packed = final[stay].astype("<u4").tobytes()
+        return [packed[4 * a : 4 * b] for a, b in itertools.pairwise(kept)]
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The encodings of words, none of them empty. An entry of the vocabulary is its own."""
+        out = [self.entries.get(w) for w in words]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self.replay([words[i].encode("utf-8", "surrogatepass") for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def runs(self, text: str) -> Iterator[list[str]]:
+        """The text's pre-tokens, a bounded number at a time if it is very long."""
+        if len(text) <= LONG_TEXT:
+            yield self.pattern.findall(text)
+            return
+        found = self.pattern.finditer(text)
+        while run := [m[0] for m in itertools.islice(found, RUN)]:
+            yield run
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        if len(texts) == 1 and len(texts[0]) > LONG_TEXT:
-            found, parts = self.pattern.finditer(texts[0]), []
-            while run := [m[0] for m in itertools.islice(found, RUN)]:
-                distinct = set(run)
-                self.words = self.words if all(w in self.words for w in distinct) else {}
-                self.learn(distinct)
-                parts.append(b"".join(map(self.words.__getitem__, run)))
-            return [b"".join(parts)]
-        split = [self.pattern.findall(t) for t in texts]
-        distinct = set(itertools.chain.from_iterable(split))
-        new = distinct - self.words.keys()
-        if len(self.words) + len(new) > WORDS_KEPT:
-            self.words, new = {}, distinct
-        self.words.update(zip(new := list(new), self.encode_words(new), strict=True))
-        get = self.words.__getitem__
-        return [b"".join(map(get, run)) for run in split]
+        """Of texts that are the whole corpus."""
+        words = list({w for t in texts for run in self.runs(t) for w in run})
+        get = dict(zip(words, self.encode_words(words), strict=True)).__getitem__
+        return [b"".join(b"".join(map(get, run)) for run in self.runs(t)) for t in texts]
 
     def decode(self, ids: np.ndarray) -> bytes:
         get, step = self.vocabulary.__getitem__, 1 << 16
@@ -206,18 +184,154 @@ def encoder(path: str, pattern: str) -> Encoder:
         return Encoder({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens bigint, ids binary): token ids of each text as little-endian unsigned 32-bit integers.
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """(name, rows) of each block: consecutive rows of the task's input with about BLOCK text bytes."""
+    block, held, size = TaskContext.get().partitionId() << 40, [], 0
+    for part in blocks(batches, limit=BLOCK):
+        _, offsets = flat(part.column("text"))
+        if held and size + int(offsets[-1]) > BLOCK:
+            yield block, held
+            block, held, size = block + 1, [], 0
+        held.append(part)
+        size += int(offsets[-1])
+    if held:
+        yield block, held
+
+
+def _packed(*arrays: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([np.array([len(a) for a in arrays], "<u8").tobytes(), *arrays]))
+
+
+def _unpacked(data: bytes, n: int) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    ends = (8 * n + np.cumsum(np.frombuffer(raw[: 8 * n], "<u8"))).tolist()
+    return [raw[a:b] for a, b in zip([8 * n, *ends], ends, strict=False)]
+
+
+def _joined(words: list[bytes]) -> tuple[bytes, bytes]:
+    """Lengths and bytes of several values."""
+    return np.array([len(w) for w in words], "<u4").tobytes(), b"".join(words)
 
-    path is a rank file that every executor can open at the same place (it comes with an installed package)."""
+
+def _parted(sizes: bytes, data: bytes) -> list[bytes]:
+    ends = np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def _asked(path: str, pattern: str, slices: int):
+    """Each block's distinct words that aren't entries of the vocabulary: one row for each slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(path, pattern)
-        for part in blocks(batches, limit=BLOCK):
-            ids = of.encode_all(part.column("text").to_pylist())
-            yield pa.record_batch([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        for block, parts in _numbered(batches):
+            words: set[str] = set()
+            for part in parts:
+                for text in part.column("text"):
+                    for found in of.runs(text.as_py()):
+                        words.update(found)
+            dealt: list[list[bytes]] = [[] for _ in range(slices)]
+            for word in sorted(words - of.entries.keys()):
+                raw = word.encode("utf-8", "surrogatepass")
+                dealt[zlib.crc32(raw) % slices].append(raw)
+            full = [k for k, own in enumerate(dealt) if own]
+            yield pa.record_batch([pa.array([block] * len(full), pa.int64()), pa.array(full, pa.int32()), pa.array([_packed(*_joined(dealt[k])) for k in full], pa.binary())], ["block", "slice", "words"])
+
+    return run
+
+
+def _answered(path: str, pattern: str):
+    """The rows of _asked() with the words' encodings; words that several blocks ask for are encoded once."""
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = encoder(path, pattern)
+        known: dict[bytes, bytes] = {}
+        held: list[tuple[int, list[bytes]]] = []
+
+        def solve() -> pa.RecordBatch:
+            new = list({w for _, words in held for w in words if w not in known})
+            known.update(zip(new, of.replay(new), strict=True))
+            rows = [_packed(*_joined(words), *_joined([known[w] for w in words])) for _, words in held]
+            out = pa.record_batch([pa.array([b for b, _ in held], pa.int64()), pa.array(rows, pa.binary())], ["block", "codes"])
+            held.clear()
+            if len(known) > SLICE:
+                known.clear()
+            return out
+
+        size = 0
+        for batch in batches:
+            for block, words in zip(batch.column("block").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                held.append((block, _parted(*_unpacked(words, 2))))
+                size += len(held[-1][1])
+                if size > SLICE:
+                    yield solve()
+                    size = 0
+        if held:
+            yield solve()
+
+    return run
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, ids binary, texts binary) of each block, packed."""
+    for block, parts in _numbered(batches):
+        table = pa.Table.from_batches(parts)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.select(["doc_id"]).schema) as out:
+            out.write_table(table.select(["doc_id"]))
+        values = [x.as_py().encode("utf-8", "surrogatepass") for x in table.column("text")]
+        yield pa.record_batch([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([_packed(*_joined(values))], pa.binary())], ["block", "ids", "texts"])
+
+
+def _coded(path: str, pattern: str, decoded: bool):
+    """Blocks with all their encodings to (doc_id, n_tokens, ids) and maybe decoded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = encoder(path, pattern)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                doc_ids = pa.ipc.open_stream(batch.column("ids")[i].as_py()).read_all().column("doc_id").combine_chunks()
+                table = dict(of.entries)
+                for packed in batch.column("codes")[i].as_py() or ():
+                    parts = _unpacked(packed, 4)
+                    table.update(zip((w.decode("utf-8", "surrogatepass") for w in _parted(*parts[:2])), _parted(*parts[2:]), strict=True))
+                texts, at = _parted(*_unpacked(batch.column("texts")[i].as_py(), 2)), 0
+                while at < len(texts):
+                    stop, size = at, 0
+                    while stop < len(texts) and (stop == at or size + len(texts[stop]) <= PART):
+                        size += len(texts[stop])
+                        stop += 1
+                    try:
+                        ids = [b"".join(b"".join(map(table.__getitem__, run)) for run in of.runs(t.decode("utf-8", "surrogatepass"))) for t in texts[at:stop]]
+                    except KeyError as e:
+                        raise RuntimeError(f"block {batch.column('block')[i].as_py()} was read with other rows before: its encodings lack {e}") from e
+                    columns = [doc_ids.slice(at, stop - at), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                    if decoded:
+                        columns.append(pa.array([of.decode(np.frombuffer(x, "<u4")) for x in ids], pa.binary()))
+                    yield pa.record_batch(columns, ["doc_id", "n_tokens", "ids", "decoded"][: len(columns)])
+                    at = stop
+
+    return run
+
+
+_CODED = "doc_id bigint, n_tokens bigint, ids binary"
+
+
+def _encoded(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, decoded: bool) -> DataFrame:
+    docs = id_and_text(docs, id_col, text_col)
+    slices = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = docs.mapInArrow(_asked(path, pattern, slices), "block bigint, slice int, words binary").repartitionById(slices, F.col("slice"))
+    answers = asked.select("block", "words").mapInArrow(_answered(path, pattern), "block bigint, codes binary")
+    codes = answers.groupBy(F.col("block").alias("of")).agg(F.collect_list("codes").alias("codes"))  # a block's distinct words
+    texts = docs.mapInArrow(_texts, "block bigint, ids binary, texts binary")
+    joined = texts.join(codes, F.col("block") == F.col("of"), "left").select("block", "ids", "texts", "codes")
+    return joined.mapInArrow(_coded(path, pattern, decoded), _CODED + ", decoded binary" * decoded)
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens bigint, ids binary): token ids of each text as little-endian unsigned 32-bit integers.
+
+    path is a rank file that every executor can open at the same place (it comes with an installed package)."""
+    return _encoded(docs, path, pattern, id_col, text_col, False)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -225,21 +339,13 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(path, pattern)
-        for part in blocks(batches, "ids", BLOCK):
+        for part in blocks(batches, "ids", PART):
             texts = [of.decode(np.frombuffer(x or b"", "<u4")) for x in part.column("ids").to_pylist()]
             yield pa.record_batch([*part.columns, pa.array(texts, pa.binary())], [*part.schema.names, "decoded"])
 
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary, decoded binary")
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, _CODED + ", decoded binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """decode(encode(docs)) in one step, so that a task has one Python worker and one vocabulary in memory."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = encoder(path, pattern)
-        for part in blocks(batches, limit=BLOCK):
-            ids = of.encode_all(part.column("text").to_pylist())
-            texts = [of.decode(np.frombuffer(x, "<u4")) for x in ids]
-            yield pa.record_batch([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(texts, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
-
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary, decoded binary")
+    """decode(encode(docs)), decoded in the step that puts the ids together."""
+    return _encoded(docs, path, pattern, id_col, text_col, True)

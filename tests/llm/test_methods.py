@@ -9,7 +9,8 @@ from xml.etree import ElementTree
 
 import pytest
 
-from contentsec.llm import html_extract
+import public_tokenizers
+from contentsec.llm import byte_bpe, html_extract
 
 random.seed(11)
 
@@ -118,3 +119,56 @@ def test_path_scores_agree_with_a_tree(seed):
 )
 def test_content_by_ratio(html, text):
     assert html_extract.main_text(html) == text
+
+
+# 10
+
+
+def brute_bpe(word, ranks):
+    """Least rank first, leftmost first, one merge after the other."""
+    parts = [bytes([b]) for b in word]
+    while True:
+        known = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks]
+        if not known:
+            return [ranks[p] for p in parts]
+        _, i = min(known)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_replay_of_any_ranks(seed):
+    """Ranks in any order, so that merges of a lower rank come up late; words of every length at once."""
+    r = random.Random(seed)
+    tokens = {bytes(r.choice(b"abc") for _ in range(r.randint(2, 5))) for _ in range(40)}
+    order = [bytes([b]) for b in range(256)] + sorted(tokens)
+    r.shuffle(order)
+    ranks = {t: k for k, t in enumerate(order)}
+    of = byte_bpe.Encoder(ranks, ".+")
+    words = [bytes(r.choice(b"abcd") for _ in range(r.choice([1, 2, 5, 20, 63, 64, 65, 400]))) for _ in range(60)]
+    assert [list(memoryview(x).cast("I")) for x in of.replay(words)] == [brute_bpe(w, ranks) for w in words]
+
+
+def test_blocks_of_a_corpus(spark, monkeypatch):
+    """Many blocks that ask for the same words, in slices of few words: every word is encoded once in its slice."""
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 50}x é的{k}" for k in range(30)) if i % 9 else None) for i in range(200)] + [(None, "x" * 3000 + " y"), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    whole = byte_bpe.encoder(path, public_tokenizers.PATTERN).encode_all([t or "" for _, t in rows])
+    want = sorted(((i, w) for (i, _), w in zip(rows, whole, strict=True)), key=repr)
+    monkeypatch.setattr(byte_bpe, "BLOCK", 2000)
+    got = byte_bpe.encode(docs, path, public_tokenizers.PATTERN)
+    assert sorted(((r.doc_id, bytes(r.ids)) for r in got.collect()), key=repr) == want
+    asked = [dict(zip(("h", "words"), x, strict=True)) for x in [(1, [b"ab", b"cd"]), (2, [b"cd"])]]
+    of, seen = byte_bpe.encoder(path, public_tokenizers.PATTERN), []
+    monkeypatch.setattr(of.__class__, "replay", lambda self, words: seen.append(sorted(words)) or [b"\0\0\0\0"] * len(words))
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array([x["h"] for x in asked]), pa.array([byte_bpe._packed(*byte_bpe._joined(x["words"])) for x in asked])], ["block", "words"])
+    assert sum(b.num_rows for b in byte_bpe._answered(path, public_tokenizers.PATTERN)(iter([batch]))) == 2 and seen == [[b"ab", b"cd"]]
+
+
+def test_tokens_of_the_vocabulary(monkeypatch):
+    """Replayed, an entry of the vocabulary gives itself, as the short cut says."""
+    of = byte_bpe.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    tokens = sorted(of.ranks)
+    assert of.replay(tokens) == [of.ranks[t].to_bytes(4, "little") for t in tokens]
