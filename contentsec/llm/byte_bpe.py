@@ -1,15 +1,15 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
 The corpus is the set of distinct pre-tokens of all texts. Rows are read in blocks of about BLOCK text bytes; each block
-hands out its distinct words, dealt by a hash of the word into slices, and each slice is encoded in one task, so a word
-is encoded once however many blocks hold it. A slice's words are laid out side by side with an inverted index from the
-rank of a pair's merge to its positions. The index is replayed in rank order over all words at once: a merge touches its
-own position only and updates the two pairs next to it. The encodings go back to the blocks that asked for them, where
-each text's ids are put together. Words that are entries of the vocabulary, among them all that are frequent in usual
-text, are their own encoding and aren't moved; the vocabulary bounds them.
+becomes codes of its distinct words, and hands those words out, dealt by a hash of the word into slices. Each slice is
+encoded in one task, so a word is encoded once however many blocks hold it. A slice's words are laid out side by side
+with an inverted index from the rank of a pair's merge to its positions. The index is replayed in rank order over all
+words at once: a merge touches its own position only and updates the two pairs next to it. The encodings go back to the
+blocks that asked for them, where each text's ids are gathered by its codes. Words that are entries of the vocabulary,
+among them all that are frequent in usual text, are their own encoding and aren't moved; the vocabulary bounds them.
 
-Three shuffles: words by slice and encodings by block (a block's distinct words, packed), and each block's packed text
-to its encodings. No task holds more than a block, its distinct words, and SLICE words with their index at once.
+Three shuffles: a block's codes, words by slice, and encodings by block, all packed. The codes are cut once and used on
+both sides. No task holds more than a block, its distinct words, and SLICE words with their index at once.
 
 A block is named by its place in the input, so a lost task must read the same rows again, as scans of files do; a block
 whose encodings don't fit its words raises an error. Null text counts as empty (no tokens). Rows are independent, so
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from contentsec.llm.common import blocks, flat, id_and_text
 
-#: Text bytes of a block, and text bytes that are decoded at once.
+#: Text bytes of a block; words that are put together, and bytes that are decoded, at once.
 BLOCK, PART = 8 << 20, 1 << 20
 #: Characters from which a text is cut into runs, and pre-tokens of a run.
 LONG_TEXT, RUN = 1 << 20, 1 << 16
@@ -218,40 +218,78 @@ def _parted(sizes: bytes, data: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def _asked(path: str, pattern: str, slices: int):
-    """Each block's distinct words that aren't entries of the vocabulary: one row for each slice."""
+class _Codes(dict):
+    """Numbers of words, given in order of their first look-up."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = len(self)
+        return code
+
+
+def _cut(path: str, pattern: str, slices: int):
+    """One row for each block: its name, its rows' ids, its texts as codes of its distinct words, and those words that
+    aren't entries of the vocabulary, by slice. More frequent words have smaller codes. slots has a number for each code:
+    the token of an entry, or -1 - k for the k-th word of all slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(path, pattern)
         for block, parts in _numbered(batches):
-            words: set[str] = set()
-            for part in parts:
-                for text in part.column("text"):
-                    for found in of.runs(text.as_py()):
-                        words.update(found)
-            dealt: list[list[bytes]] = [[] for _ in range(slices)]
-            for word in sorted(words - of.entries.keys()):
-                raw = word.encode("utf-8", "surrogatepass")
-                dealt[zlib.crc32(raw) % slices].append(raw)
-            full = [k for k, own in enumerate(dealt) if own]
-            yield pa.record_batch([pa.array([block] * len(full), pa.int64()), pa.array(full, pa.int32()), pa.array([_packed(*_joined(dealt[k])) for k in full], pa.binary())], ["block", "slice", "words"])
+            table = pa.Table.from_batches(parts).select(["doc_id", "text"])
+            codes, sizes, found = _Codes(), [], []
+            for text in table.column("text").to_pylist():
+                own = [np.fromiter(map(codes.__getitem__, words), np.int32, len(words)) for words in of.runs(text)]
+                sizes.append(sum(map(len, own)))
+                found += own
+            whole = np.concatenate(found) if found else np.zeros(0, np.int32)
+            order = np.argsort(-np.bincount(whole, minlength=len(codes)), kind="stable")
+            place = np.empty(len(codes), np.uint32)
+            place[order] = np.arange(len(codes), dtype=np.uint32)
+            whole = place[whole]
+            slots = np.zeros(len(codes), np.int64)
+            dealt: list[list[tuple[bytes, int]]] = [[] for _ in range(slices)]
+            for word, code in zip(codes, place.tolist(), strict=True):
+                if (token := of.entries.get(word)) is not None:
+                    slots[code] = int.from_bytes(token, "little")
+                else:
+                    raw = word.encode("utf-8", "surrogatepass")
+                    dealt[zlib.crc32(raw) % slices].append((raw, code))
+            k, words = 0, []
+            for own in dealt:
+                own.sort()
+                slots[[code for _, code in own]] = -1 - np.arange(k, k + len(own))
+                k += len(own)
+                words.append(_packed(*_joined([raw for raw, _ in own])) if own else None)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.select(["doc_id"]).schema) as out:
+                out.write_table(table.select(["doc_id"]))
+            planes = [(whole >> np.uint32(8 * b)).astype(np.uint8).tobytes() for b in range(3 if len(codes) < 1 << 24 else 4)]
+            texts = _packed(sink.getvalue().to_pybytes(), np.array(sizes, "<u8").tobytes(), slots.astype("<i8").tobytes(), *planes, *[b""] * (4 - len(planes)))
+            yield pa.record_batch([pa.array([block], pa.int64()), pa.array([texts], pa.binary()), pa.array([words], pa.list_(pa.binary()))], ["block", "texts", "words"])
 
     return run
 
 
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, slice, words) for each slice of which a block has words."""
+    for batch in batches:
+        for block, words in zip(batch.column("block").to_pylist(), batch.column("words").to_pylist(), strict=True):
+            full = [k for k, own in enumerate(words) if own is not None]
+            yield pa.record_batch([pa.array([block] * len(full), pa.int64()), pa.array(full, pa.int32()), pa.array([words[k] for k in full], pa.binary())], ["block", "slice", "words"])
+
+
 def _answered(path: str, pattern: str):
-    """The rows of _asked() with the words' encodings; words that several blocks ask for are encoded once."""
+    """(block, slice, codes) with the encodings of the words in their order; words of several blocks are encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(path, pattern)
         known: dict[bytes, bytes] = {}
-        held: list[tuple[int, list[bytes]]] = []
+        held: list[tuple[int, int, list[bytes]]] = []
 
         def solve() -> pa.RecordBatch:
-            new = list({w for _, words in held for w in words if w not in known})
+            new = list({w for *_, words in held for w in words if w not in known})
             known.update(zip(new, of.replay(new), strict=True))
-            rows = [_packed(*_joined(words), *_joined([known[w] for w in words])) for _, words in held]
-            out = pa.record_batch([pa.array([b for b, _ in held], pa.int64()), pa.array(rows, pa.binary())], ["block", "codes"])
+            rows = [_packed(*_joined([known[w] for w in words])) for *_, words in held]
+            out = pa.record_batch([pa.array([b for b, *_ in held], pa.int64()), pa.array([k for _, k, _ in held], pa.int32()), pa.array(rows, pa.binary())], ["block", "slice", "codes"])
             held.clear()
             if len(known) > SLICE:
                 known.clear()
@@ -259,9 +297,9 @@ def _answered(path: str, pattern: str):
 
         size = 0
         for batch in batches:
-            for block, words in zip(batch.column("block").to_pylist(), batch.column("words").to_pylist(), strict=True):
-                held.append((block, _parted(*_unpacked(words, 2))))
-                size += len(held[-1][1])
+            for block, k, words in zip(*(batch.column(c).to_pylist() for c in ("block", "slice", "words")), strict=True):
+                held.append((block, k, _parted(*_unpacked(words, 2))))
+                size += len(held[-1][2])
                 if size > SLICE:
                     yield solve()
                     size = 0
@@ -271,15 +309,11 @@ def _answered(path: str, pattern: str):
     return run
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(name, ids binary, texts binary) of each block, packed."""
-    for block, parts in _numbered(batches):
-        table = pa.Table.from_batches(parts)
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.select(["doc_id"]).schema) as out:
-            out.write_table(table.select(["doc_id"]))
-        values = [x.as_py().encode("utf-8", "surrogatepass") for x in table.column("text")]
-        yield pa.record_batch([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([_packed(*_joined(values))], pa.binary())], ["block", "ids", "texts"])
+def _binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Values one after the other in data, of which each ends where the next one starts."""
+    offsets = np.concatenate(([0], ends)).astype(np.int64)
+    values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+    return values.cast(pa.binary())
 
 
 def _coded(path: str, pattern: str, decoded: bool):
@@ -287,28 +321,40 @@ def _coded(path: str, pattern: str, decoded: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(path, pattern)
+        spelt = pa.array(of.vocabulary, pa.binary())
         for batch in batches:
-            for i in range(batch.num_rows):
-                doc_ids = pa.ipc.open_stream(batch.column("ids")[i].as_py()).read_all().column("doc_id").combine_chunks()
-                table = dict(of.entries)
-                for packed in batch.column("codes")[i].as_py() or ():
-                    parts = _unpacked(packed, 4)
-                    table.update(zip((w.decode("utf-8", "surrogatepass") for w in _parted(*parts[:2])), _parted(*parts[2:]), strict=True))
-                texts, at = _parted(*_unpacked(batch.column("texts")[i].as_py(), 2)), 0
-                while at < len(texts):
-                    stop, size = at, 0
-                    while stop < len(texts) and (stop == at or size + len(texts[stop]) <= PART):
-                        size += len(texts[stop])
-                        stop += 1
-                    try:
-                        ids = [b"".join(b"".join(map(table.__getitem__, run)) for run in of.runs(t.decode("utf-8", "surrogatepass"))) for t in texts[at:stop]]
-                    except KeyError as e:
-                        raise RuntimeError(f"block {batch.column('block')[i].as_py()} was read with other rows before: its encodings lack {e}") from e
-                    columns = [doc_ids.slice(at, stop - at), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+            for block, texts, words, codes in zip(*(batch.column(c).to_pylist() for c in ("block", "texts", "words", "codes")), strict=True):
+                ids, sizes, slots, *planes = _unpacked(texts, 7)
+                doc_ids = pa.ipc.open_stream(ids).read_all().column("doc_id").combine_chunks()
+                slots = np.frombuffer(slots, "<i8")
+                whole = sum(np.frombuffer(p, np.uint8).astype(np.int64) << 8 * b for b, p in enumerate(planes) if p or not b)
+                # a pool of tokens: the entries' own, then the encodings of the other words, slice by slice
+                parts = [_unpacked(x["codes"], 2) for x in sorted(codes or (), key=lambda x: x["slice"])]
+                lengths = np.concatenate([np.frombuffer(a, "<u4") for a, _ in parts]).astype(np.int64) // 4 if parts else np.zeros(0, np.int64)
+                if [x["slice"] for x in sorted(codes or (), key=lambda x: x["slice"])] != [k for k, x in enumerate(words) if x is not None] or len(lengths) != (slots < 0).sum():
+                    raise RuntimeError(f"block {block} was read with other rows before: its encodings don't fit its words")
+                pool = np.concatenate([np.where(slots < 0, 0, slots), *(np.frombuffer(b, "<u4").astype(np.int64) for _, b in parts)])
+                starts = len(slots) + np.cumsum(lengths) - lengths
+                k = np.maximum(-1 - slots, 0)
+                start = np.where(slots < 0, np.append(starts, 0)[k], np.arange(len(slots)))
+                length = np.where(slots < 0, np.append(lengths, 0)[k], 1)
+                ends = np.cumsum(np.frombuffer(sizes, "<u8").astype(np.int64))
+                at, total = 0, len(ends)
+                before = 0
+                while at < total:
+                    stop = max(at + 1, int(np.searchsorted(ends, before + PART, "right")))
+                    own = whole[before : ends[stop - 1]]
+                    n = length[own]
+                    tokens = np.append(0, np.cumsum(n))
+                    out = pool[np.repeat(start[own] - tokens[:-1], n) + np.arange(tokens[-1])].astype("<u4")
+                    cut = tokens[ends[at:stop] - before]
+                    columns = [doc_ids.slice(at, stop - at), pa.array(np.diff(cut, prepend=0), pa.int64()), _binaries(out, 4 * cut)]
                     if decoded:
-                        columns.append(pa.array([of.decode(np.frombuffer(x, "<u4")) for x in ids], pa.binary()))
+                        text = spelt.take(pa.array(out))
+                        bytes_, upto = flat(text)
+                        columns.append(_binaries(bytes_, upto[cut]))
                     yield pa.record_batch(columns, ["doc_id", "n_tokens", "ids", "decoded"][: len(columns)])
-                    at = stop
+                    at, before = stop, int(ends[stop - 1])
 
     return run
 
@@ -319,11 +365,11 @@ _CODED = "doc_id bigint, n_tokens bigint, ids binary"
 def _encoded(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, decoded: bool) -> DataFrame:
     docs = id_and_text(docs, id_col, text_col)
     slices = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = docs.mapInArrow(_asked(path, pattern, slices), "block bigint, slice int, words binary").repartitionById(slices, F.col("slice"))
-    answers = asked.select("block", "words").mapInArrow(_answered(path, pattern), "block bigint, codes binary")
-    codes = answers.groupBy(F.col("block").alias("of")).agg(F.collect_list("codes").alias("codes"))  # a block's distinct words
-    texts = docs.mapInArrow(_texts, "block bigint, ids binary, texts binary")
-    joined = texts.join(codes, F.col("block") == F.col("of"), "left").select("block", "ids", "texts", "codes")
+    cut = docs.mapInArrow(_cut(path, pattern, slices), "block bigint, texts binary, words array<binary>").repartition("block")  # both uses read all its columns, so Spark runs it once
+    asked = cut.mapInArrow(_asked, "block bigint, slice int, words binary").repartitionById(slices, F.col("slice"))
+    answers = asked.mapInArrow(_answered(path, pattern), "block bigint, slice int, codes binary")
+    codes = answers.groupBy(F.col("block").alias("of")).agg(F.collect_list(F.struct("slice", "codes")).alias("codes"))  # of a block's distinct words
+    joined = cut.join(codes, F.col("block") == F.col("of"), "left").select("block", "texts", "words", "codes")
     return joined.mapInArrow(_coded(path, pattern, decoded), _CODED + ", decoded binary" * decoded)
 
 

@@ -163,7 +163,7 @@ def test_blocks_of_a_corpus(spark, monkeypatch):
     monkeypatch.setattr(of.__class__, "replay", lambda self, words: seen.append(sorted(words)) or [b"\0\0\0\0"] * len(words))
     import pyarrow as pa
 
-    batch = pa.record_batch([pa.array([x["h"] for x in asked]), pa.array([byte_bpe._packed(*byte_bpe._joined(x["words"])) for x in asked])], ["block", "words"])
+    batch = pa.record_batch([pa.array([x["h"] for x in asked]), pa.array([0, 0]), pa.array([byte_bpe._packed(*byte_bpe._joined(x["words"])) for x in asked])], ["block", "slice", "words"])
     assert sum(b.num_rows for b in byte_bpe._answered(path, public_tokenizers.PATTERN)(iter([batch]))) == 2 and seen == [[b"ab", b"cd"]]
 
 
