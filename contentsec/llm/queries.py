@@ -30,9 +30,9 @@ def op5_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digests(table(spark, sf_dir, "documents"))
 
 
-def removal_digests(docs: DataFrame, group: int = suffix_dedup.GROUP) -> DataFrame:
+def removal_digests(docs: DataFrame, group: int = suffix_dedup.GROUP, bits: int = suffix_dedup.BITS) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s[1] - s[0])
-    return suffix_dedup.dedup(docs, group=group).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return suffix_dedup.dedup(docs, group=group, bits=bits).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op6_neighbour_voting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,15 +4,16 @@ Every 200-byte window has an anchor: the leftmost least hash of its 48-byte gram
 equal distances, so only windows with equal anchor grams can be equal. Each anchor is written down once with the run of
 windows that it serves and a hash of their bytes (the run's context), about one row for 75 bytes of text.
 
-Anchor grams that occur once are done: their windows are unique. Where all contexts of a gram are equal, all their
-windows repeat. For the others one copy of each different context is fetched, and the texts behind and before the
-anchors are sorted as suffixes: a mergesort whose comparisons find the common extension by binary search over prefix
-polynomial hashes. Neighbours' extensions are then verified byte by byte (and a wrong order sorted again by bytes), and
-windows are equal if they share a long enough extension on both sides. A gram with over GROUP different contexts is not
-sorted in one task: blocks of its windows are counted by 128-bit hashes of their bytes, in aggregates that Spark spreads
-over all tasks, and cut smaller only where they are neither unlike all others nor wholly alike.
-
-Equal contexts are taken for equal by two independent 64-bit hashes (gram and context), not compared byte by byte.
+Anchor grams that occur once are done: their windows are unique. The contexts of all others are cut from their texts and
+grouped by their bytes, copies within a task first, so that what counts as equal has been compared byte by byte; the
+hashes of gram and context only bring together what is compared. A context that occurs twice repeats with all its
+windows. Where a gram has several contexts, the texts behind and before the anchors are sorted as suffixes: a mergesort
+whose comparisons find the common extension by binary search over prefix polynomial hashes. Neighbours' extensions are
+then verified byte by byte (and a wrong order sorted again by bytes), and windows are equal if they share a long enough
+extension on both sides. A gram with over GROUP different contexts would be too much for one task: its windows are
+taken in ranges of neighbours, whose shared bytes are grouped in aggregates that Spark spreads over all tasks, and cut
+smaller only where they are neither unlike all others nor wholly alike. These too are compared by their bytes.
+
 Null text is empty. Texts below 200 bytes lose nothing. Repeated rows are documents of their own, so all their windows
 repeat; a null doc_id is an id. Very long texts are read in overlapping pieces of PIECE windows. Matches never cross
 documents. An empty table gives no rows.
@@ -20,6 +21,7 @@ documents. An empty table gives no rows.
 
 from __future__ import annotations
 
+import collections
 import itertools
 from collections.abc import Iterator
 
@@ -27,13 +29,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contentsec.llm.common import blocks, flat, id_and_text, materialize, mix64, random_table
 
-WINDOW, GRAM, GROUP, PIECE = 200, 48, 1000, 1 << 20
+WINDOW, GRAM, GROUP, PIECE = 200, 48, 256, 1 << 20
 WIDTH = WINDOW - GRAM + 1
+#: Different contexts that a task holds before it hands them on.
+HELD = 1 << 15
+#: Bits of the hashes of grams and contexts; tests take few, so that they collide.
+BITS = 64
 _BYTE = random_table(256, 29)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -78,8 +84,9 @@ def anchored(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return first, np.diff(np.append(first, windows)), at[first] - first, gram[at[first]]
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
+def occurrences(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """(doc_id, k, h, c, s, n, a) of each anchor of docs(doc_id, text); k names the text, c the bytes of the run."""
+    mask = (1 << bits) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, limit=1 << 20):
@@ -96,7 +103,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                     first = first + at
                     c = [xxhash.xxh3_64_intdigest(view[s:e], seed=d) for s, e, d in zip(first.tolist(), (first + n + WINDOW - 1).tolist(), a.tolist(), strict=True)]
                     rows[i] += len(first)
-                    for col, v in zip(cols, (np.full(len(first), key, np.uint64).view(np.int64), h.view(np.int64), np.array(c, np.uint64).view(np.int64), first, n, a), strict=True):
+                    for col, v in zip(cols, (np.full(len(first), key, np.uint64).view(np.int64), (h & np.uint64(mask)).view(np.int64), (np.array(c, np.uint64) & np.uint64(mask)).view(np.int64), first, n, a), strict=True):
                         col.append(v)
             whole = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
             ids = part.column("doc_id").take(pa.array(np.repeat(np.arange(part.num_rows), rows)))
@@ -195,21 +202,23 @@ def _runs(flags: np.ndarray) -> list[list[int]]:
     return edge.reshape(-1, 2).tolist()
 
 
-_FOUND = "h bigint, c bigint, runs array<array<int>>"
+#: A context's group, its class (hash, and a number where classes share the hash), and its runs of repeated windows.
+_FOUND = "h bigint, c bigint, e int, runs array<array<int>>"
+_CUT = "h bigint, c bigint, a smallint, n smallint, times bigint, context binary"
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch], most: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Whole groups of rows (h, c, a, n, times, context) that come sorted by h, many groups at once."""
+    """Whole groups of rows (h, c, e, a, n, times, context) that come sorted by h, many groups at once."""
     held: list[tuple] = []
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        h, c, a, n, times, contexts = zip(*rows, strict=True)
+        h, c, e, a, n, times, contexts = zip(*rows, strict=True)
         _, group = np.unique(np.array(h, np.int64), return_inverse=True)
         flags = repeated(group, list(contexts), np.array(a, np.int64), np.array(n, np.int64), np.array(times, float))
-        return pa.record_batch([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array([_runs(f) for f in flags], pa.list_(pa.list_(pa.int32())))], ["h", "c", "runs"])
+        return pa.record_batch([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(e, pa.int32()), pa.array([_runs(f) for f in flags], pa.list_(pa.list_(pa.int32())))], ["h", "c", "e", "runs"])
 
     for batch in batches:
-        held += zip(*(batch.column(x).to_pylist() for x in ("h", "c", "a", "n", "times", "context")), strict=True)
+        held += zip(*(batch.column(x).to_pylist() for x in ("h", "c", "e", "a", "n", "times", "context")), strict=True)
         while len(held) > most:
             cut = most
             while cut < len(held) and held[cut][0] == held[cut - 1][0]:
@@ -222,97 +231,137 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], most: int = 4096) -> Itera
         yield solve(held)
 
 
-#: Widths of the blocks of windows into which a gram's contexts are cut when they are too many for one task.
-BLOCKS = (64, 16, 4, 1)
-_BLOCK = "h bigint, c bigint, times bigint, a int, d int, cx bigint, cy bigint, fx bigint, fy bigint"
-
+#: Widths of the ranges of windows into which a gram's contexts are cut when they are too many for one task.
+RANGES = (64, 16, 4, 1)
+_RANGE = "h bigint, c bigint, e int, times bigint, a int, d int, core binary, whole binary"
 
-def _cut_blocks(width: int):
-    """Rows (h, c, a, n, context, asks) to one row for each block of `width` windows, d..d + width - 1 bytes before the
-    anchor, that is asked for and meets the context's own windows. (cx, cy) is the hash of the bytes that all windows of
-    the block share, (fx, fy) that of all their bytes; null where the context lacks some of its windows."""
 
-    def name(data: bytes) -> list[int]:
-        return np.frombuffer(xxhash.xxh3_128_digest(data), "<i8").tolist()
+def _cut_ranges(width: int):
+    """Rows (h, c, e, a, n, context, asks) to one row for each range of `width` windows, d..d + width - 1 bytes before the
+    anchor, that is asked for and meets the context's own windows. core has the bytes that all windows of the range
+    share, whole all their bytes; whole is null where the context lacks some of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[] for _ in range(9)]
-            for h, c, a, n, context, asks in zip(*(batch.column(x).to_pylist() for x in ("h", "c", "a", "n", "context", "asks")), strict=True):
+            cols: list[list] = [[] for _ in range(8)]
+            for h, c, e, a, n, context, asks in zip(*(batch.column(x).to_pylist() for x in ("h", "c", "e", "a", "n", "context", "asks")), strict=True):
                 least = a - n + 1
                 for ask in asks:
                     d, last = ask["d"], ask["d"] + width - 1
                     if last < least or d > a:
                         continue
-                    full = name(context[a - last : a + WINDOW - d]) if last <= a and d >= least else [None, None]
-                    for col, v in zip(cols, (h, c, ask["times"], a, d, *name(context[a - d : a + WINDOW - last]), *full), strict=True):
+                    whole = context[a - last : a + WINDOW - d] if last <= a and d >= least else None
+                    for col, v in zip(cols, (h, c, e, ask["times"], a, d, context[max(a - d, 0) : a + WINDOW - last], whole), strict=True):
                         col.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4]
-            yield pa.record_batch([pa.array(v, k) for v, k in zip(cols, kinds, strict=True)], ["h", "c", "times", "a", "d", "cx", "cy", "fx", "fy"])
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.record_batch([pa.array(v, k) for v, k in zip(cols, kinds, strict=True)], ["h", "c", "e", "times", "a", "d", "core", "whole"])
 
     return run
 
 
-def _counted_blocks(contexts: DataFrame) -> DataFrame:
-    """(h, c, runs) of contexts(h, c, a, n, times, context), by aggregates only, so that no task needs a whole group.
-
-    Blocks whose shared bytes nothing else has are done: none of their windows repeats. Blocks that are wholly equal are
-    done too: all of their windows repeat, and one of them goes on for the rest. What goes on is cut into smaller blocks."""
-    found = contexts.filter("times > 1").select("h", "c", F.array(F.lit(0), F.col("n").cast("int")).alias("run"))
-    asks = F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1), F.lit(BLOCKS[0])), lambda d: F.struct(d.cast("int").alias("d"), F.col("times").alias("times")))
-    asked = contexts.select("h", "c", "a", "n", "context", asks.alias("asks"))
-    for width, smaller in zip(BLOCKS, (*BLOCKS[1:], 0), strict=True):
-        each = materialize(asked.mapInArrow(_cut_blocks(width), _BLOCK), "blocks")
-        whole = F.col("fx").isNotNull()
-        named = each.withColumn("whole", whole).withColumn("kx", F.coalesce("fx", "c")).withColumn("ky", F.coalesce("fy", F.lit(0)))
-        kinds = materialize(named.groupBy("h", "d", "cx", "cy", "whole", "kx", "ky").agg(F.sum("times").alias("all_times"), F.min("c").alias("c0")), "kinds")
-        same = materialize(kinds.filter("whole and all_times > 1").select("h", "d", "kx", "ky"), "same")
-        equal = named.filter("whole").join(same, ["h", "d", "kx", "ky"]).select("h", "c", F.array(F.col("a") - F.col("d") - (width - 1), F.col("a") - F.col("d") + 1).alias("run"))
+def _counted_ranges(contexts: DataFrame) -> DataFrame:
+    """(h, c, e, runs) of contexts(h, c, e, a, n, times, context), by aggregates only, so that no task needs a whole
+    group.
+
+    Ranges whose shared bytes nothing else has are done: none of their windows repeats. Ranges that are wholly equal are
+    done too: all of their windows repeat, and one of them goes on for the rest. What goes on is cut into smaller ones."""
+    one = ["h", "c", "e"]
+    found = contexts.filter("times > 1").select(*one, F.array(F.lit(0), F.col("n").cast("int")).alias("run"))
+    asks = F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1), F.lit(RANGES[0])), lambda d: F.struct(d.cast("int").alias("d"), F.col("times").alias("times")))
+    asked = contexts.select(*one, "a", "n", "context", asks.alias("asks"))
+    for width, smaller in zip(RANGES, (*RANGES[1:], 0), strict=True):
+        each = materialize(asked.mapInArrow(_cut_ranges(width), _RANGE), "ranges")
+        own = F.when(F.col("whole").isNull(), F.struct("c", "e"))  # a range that lacks windows is like no other
+        kinds = materialize(each.groupBy("h", "d", "core", "whole", own.alias("own")).agg(F.sum("times").alias("all_times"), F.min(F.struct("c", "e")).alias("least")), "kinds")
+        same = materialize(kinds.filter("whole is not null and all_times > 1").select("h", "d", "whole"), "same")
+        equal = each.filter("whole is not null").join(same, ["h", "d", "whole"]).select(*one, F.array(F.col("a") - F.col("d") - (width - 1), F.col("a") - F.col("d") + 1).alias("run"))
         found = found.union(equal)
         if smaller:
-            several = materialize(kinds.groupBy("h", "d", "cx", "cy").count().filter("count > 1").drop("count"), "several")
-            on = kinds.join(several, ["h", "d", "cx", "cy"]).select("h", F.col("c0").alias("c"), F.col("all_times").alias("times"), F.explode(F.sequence(F.col("d"), F.col("d") + (width - 1), F.lit(smaller))).alias("d"))
-            asked = contexts.drop("times").join(materialize(on.groupBy("h", "c").agg(F.collect_list(F.struct("d", "times")).alias("asks")), "on"), ["h", "c"])
-    return materialize(found, "runs").groupBy("h", "c").agg(F.collect_set("run").alias("runs"))
+            several = materialize(kinds.groupBy("h", "d", "core").count().filter("count > 1").drop("count"), "several")
+            on = kinds.join(several, ["h", "d", "core"]).select("h", "least.c", "least.e", F.col("all_times").alias("times"), F.explode(F.sequence(F.col("d"), F.col("d") + (width - 1), F.lit(smaller))).alias("d"))
+            asked = contexts.drop("times").join(materialize(on.groupBy(*one).agg(F.collect_list(F.struct("d", "times")).alias("asks")), "on"), one)
+    return materialize(found, "runs").groupBy(*one).agg(F.collect_set("run").alias("runs"))
 
 
-def repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """(doc_id, k, start, stop): byte ranges of docs(doc_id, text) that repeated windows cover; ranges may overlap."""
-    occ = materialize(occurrences(docs), "anchors")
-    grams = occ.groupBy("h").agg(F.count("*").alias("times"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("times > 1")
-    grams = materialize(grams.select("h", (F.col("c0") != F.col("c1")).alias("mixed")), "grams")
-    shared = materialize(occ.join(grams, "h"), "shared")
-    plain = shared.filter("not mixed").select("doc_id", "k", F.col("s").alias("start"), (F.col("s") + F.col("n") + WINDOW - 1).alias("stop"))
+def _cut(counted: bool):
+    """Texts with their anchors (asks) to the bytes of each anchor's context: counted, equal ones of a task together, or
+    one by one with the place that each has."""
 
-    one = shared.filter("mixed").groupBy("h", "c").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "k", "s", "n", "a")).alias("one"))
-    one = materialize(one.select("h", "c", "times", "one.*"), "contexts")
-    asked = one.groupBy("doc_id", "k").agg(F.collect_list(F.struct("h", "c", "times", "s", "n", "a")).alias("asks")).withColumnsRenamed({"doc_id": "_id", "k": "_k"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press, held = zstandard.ZstdDecompressor(), collections.Counter()
+
+        def counts() -> pa.RecordBatch:
+            h, c, a, contexts = zip(*held, strict=True)
+            n = [len(x) - WINDOW + 1 for x in contexts]
+            out = pa.record_batch([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(a, pa.int16()), pa.array(n, pa.int16()), pa.array(list(held.values()), pa.int64()), pa.array(contexts, pa.binary())], ["h", "c", "a", "n", "times", "context"])
+            held.clear()
+            return out
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdDecompressor()
         for batch in batches:
             for i in range(batch.num_rows):
                 text = press.decompress(batch.column("text")[i].as_py())
                 asks = batch.column("asks")[i].values
-                s, n = (asks.field(x).to_numpy() for x in ("s", "n"))
-                contexts = [text[x : x + y + WINDOW - 1] for x, y in zip(s.tolist(), n.tolist(), strict=True)]
-                yield pa.record_batch([asks.field("h"), asks.field("c"), asks.field("a"), asks.field("n"), asks.field("times"), pa.array(contexts, pa.binary())], ["h", "c", "a", "n", "times", "context"])
+                h, c, s, n, a = (asks.field(x).to_pylist() for x in ("h", "c", "s", "n", "a"))
+                contexts = [text[x : x + y + WINDOW - 1] for x, y in zip(s, n, strict=True)]
+                if counted:
+                    held.update(zip(h, c, a, contexts, strict=True))
+                    if len(held) >= HELD:
+                        yield counts()
+                else:
+                    m = len(h)
+                    yield pa.record_batch([pa.array([batch.column(x)[i].as_py()] * m, pa.int64()) for x in ("doc_id", "k")] + [pa.array(s, pa.int64()), pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(a, pa.int16()), pa.array(contexts, pa.binary())], ["doc_id", "k", "s", "h", "c", "a", "context"])
+        if held:
+            yield counts()
+
+    return run
 
-    there = packed(docs).join(materialize(asked, "asked"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("k") == F.col("_k")))
-    bytes_of = materialize(there.select("text", "asks").mapInArrow(cut, "h bigint, c bigint, a smallint, n smallint, times bigint, context binary").dropDuplicates(["h", "c"]), "bytes")
-    many = materialize(one.groupBy("h").count().filter(F.col("count") > group).select("h"), "many")
-    few = bytes_of.join(many, "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_groups, _FOUND)
-    hot = few.limit(0) if many.isEmpty() else _counted_blocks(materialize(bytes_of.join(many, "h", "left_semi"), "crowded"))
-    found = materialize(few.union(hot).filter(F.size("runs") > 0), "found")
-    mixed = shared.filter("mixed").join(found, ["h", "c"]).select("doc_id", "k", "s", F.explode("runs").alias("r"))
-    return plain.union(mixed.select("doc_id", "k", (F.col("s") + F.col("r")[0]).alias("start"), (F.col("s") + F.col("r")[1] + WINDOW - 1).alias("stop")))
 
+def _with_text(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """(doc_id, k, text, asks): the texts that hold anchors of shared, packed, with those anchors, each once."""
+    asks = shared.groupBy(F.col("doc_id").alias("_id"), F.col("k").alias("_k")).agg(F.collect_set(F.struct("h", "c", "s", "n", "a")).alias("asks"))
+    there = packed(docs).join(materialize(asks, "asked"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("k") == F.col("_k")))
+    return there.select("doc_id", "k", "text", "asks")
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
+
+def repeats(docs: DataFrame, group: int = GROUP, bits: int = BITS) -> DataFrame:
+    """(doc_id, k, start, stop): byte ranges of docs(doc_id, text) that repeated windows cover; ranges may overlap."""
+    occ = materialize(occurrences(docs, bits), "anchors")
+    grams = materialize(occ.groupBy("h").count().filter("count > 1").select("h"), "grams")
+    shared = materialize(occ.join(grams, "h"), "shared")
+    cut = _with_text(docs, shared).mapInArrow(_cut(True), _CUT)
+    classes = materialize(cut.groupBy("h", "c", "a", "n", "context").agg(F.sum("times").alias("times")), "contexts")
+
+    clash = materialize(classes.groupBy("h", "c").count().filter("count > 1").drop("count"), "clashes")
+    located = shared.select("doc_id", "k", "s", "n", "h", "c", F.lit(0).alias("e"))
+    if clash.isEmpty():
+        classes = classes.withColumn("e", F.lit(0))
+    else:  # hashes that different contexts share: their classes are numbered, and found again by their bytes
+        order = Window.partitionBy("h", "c").orderBy("a", "context")
+        mixed = materialize(classes.join(clash, ["h", "c"]).withColumn("e", F.row_number().over(order)), "clashing")
+        classes = classes.join(clash, ["h", "c"], "left_anti").withColumn("e", F.lit(0)).unionByName(mixed)
+        odd = shared.join(clash, ["h", "c"])
+        places = _with_text(docs, odd).mapInArrow(_cut(False), "doc_id bigint, k bigint, s bigint, h bigint, c bigint, a smallint, context binary")
+        places = places.join(mixed.select("h", "c", "a", "context", "n", "e"), ["h", "c", "a", "context"]).select("doc_id", "k", "s", "n", "h", "c", "e")
+        located = located.join(clash, ["h", "c"], "left_anti").unionByName(materialize(places, "places"))
+
+    sizes = materialize(classes.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+    alone = classes.join(sizes, "h", "left_anti").filter("times > 1").select("h", "c", "e", F.array(F.array(F.lit(0), F.col("n").cast("int"))).alias("runs"))
+    few = classes.join(sizes.filter(F.col("size") <= group).select("h"), "h").select("h", "c", "e", "a", "n", "times", "context")
+    few = few.repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_groups, _FOUND)
+    many = materialize(sizes.filter(F.col("size") > group).select("h"), "many")
+    found = alone.union(few)
+    if not many.isEmpty():
+        found = found.union(_counted_ranges(materialize(classes.join(many, "h"), "crowded")))
+    found = materialize(found.filter(F.size("runs") > 0), "found")
+    covered = located.join(found, ["h", "c", "e"]).select("doc_id", "k", "s", F.explode("runs").alias("r"))
+    return covered.select("doc_id", "k", (F.col("s") + F.col("r")[0]).alias("start"), (F.col("s") + F.col("r")[1] + WINDOW - 1).alias("stop"))
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, bits: int = BITS) -> DataFrame:
     """(doc_id, n_bytes, spans array<array<bigint>>, kept binary), one row for each row of docs: the maximal byte runs
     that go, and the bytes that stay."""
     docs = id_and_text(docs, id_col, text_col)
-    spans = repeats(docs, group).distinct().groupBy("doc_id", "k").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).withColumnsRenamed({"doc_id": "_id", "k": "_k"})
+    spans = repeats(docs, group, bits).distinct().groupBy("doc_id", "k").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).withColumnsRenamed({"doc_id": "_id", "k": "_k"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()

@@ -1,6 +1,7 @@
 """The operators' methods: that results come through them, against slow versions written apart."""
 
 import collections
+import hashlib
 import html as entities
 import math
 import random
@@ -10,9 +11,12 @@ from xml.etree import ElementTree
 import pytest
 
 import public_tokenizers
-from contentsec.llm import byte_bpe, html_extract
+
+from contentsec.llm import byte_bpe, html_extract, suffix_dedup
+from contentsec.llm.queries import removal_digests
 
 random.seed(11)
+_occurrences = suffix_dedup.occurrences
 
 
 # 7
@@ -172,3 +176,69 @@ def test_tokens_of_the_vocabulary(monkeypatch):
     of = byte_bpe.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     tokens = sorted(of.ranks)
     assert of.replay(tokens) == [of.ranks[t].to_bytes(4, "little") for t in tokens]
+
+
+# 5
+
+
+def brute_removal(rows, width=200):
+    texts = [(i, (t or "").encode()) for i, t in rows]
+    count = collections.Counter(b[s : s + width] for _, b in texts for s in range(len(b) - width + 1))
+    out = []
+    for i, b in texts:
+        gone = bytearray(len(b))
+        for s in range(len(b) - width + 1):
+            if count[b[s : s + width]] > 1:
+                gone[s : s + width] = b"\1" * width
+        spans = sum(1 for k in range(len(b)) if gone[k] and not (k and gone[k - 1]))
+        out.append((i, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def _near_copies():
+    r = random.Random(4)
+    base = "".join(r.choice("abcdé fgh") for _ in range(2500))
+    rows = [(1, base), (2, base[:1200] + "X" + base[1201:]), (3, "pre " + base[100:420]), (4, "a" * 900), (5, "ab" * 300 + "c"), (6, None), (7, ""), (8, base[900:1200] * 2), (8, "same id"), (None, base[:300]), (None, base[:300]), (9, base[:700]), (9, base[:700])]
+    for k in range(20):
+        t = list(base[:900])
+        for _ in range(5):
+            t[r.randrange(900)] = r.choice("xyz")
+        rows.append((100 + k, "".join(t)))
+    return rows + [(500 + k, f"{r.random()}" * 3 + base[600:1100] + f"{r.random()}" * 20) for k in range(20)]
+
+
+@pytest.mark.parametrize(("bits", "group"), [(8, 256), (8, 3), (3, 256), (64, 3)])
+def test_removal_with_colliding_hashes(spark, bits, group):
+    """Hashes of grams and contexts only bring together what is compared: with few bits nothing changes."""
+    rows = _near_copies()
+    got = removal_digests(spark.createDataFrame(rows, "doc_id bigint, text string"), group, bits)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_removal(rows)
+
+
+def test_removal_across_pieces(spark, monkeypatch):
+    """Long texts are read in pieces; windows at the seams are found too."""
+    rows = _near_copies()
+    monkeypatch.setattr(suffix_dedup, "PIECE", 137)
+    monkeypatch.setattr(suffix_dedup, "HELD", 10)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(suffix_dedup, "occurrences", lambda d, bits: _pieces(spark, d))
+    assert sorted(map(tuple, removal_digests(docs).collect()), key=repr) == brute_removal(rows)
+
+
+def _pieces(spark, docs):
+    """occurrences() with pieces of 137 windows, run here: workers don't see the test's setting."""
+    import pyarrow as pa
+
+    out = []
+    table = docs.toArrow()
+
+    class Maps:
+        @staticmethod
+        def mapInArrow(run, schema):  # noqa: N802
+            out.extend(run(table.to_batches()))
+            return schema
+
+    schema = _occurrences(Maps)
+    rows = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert isinstance(table, pa.Table) and max(r[5] for r in rows) <= 137
+    return spark.createDataFrame(rows, schema)
