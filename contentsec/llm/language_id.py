@@ -6,10 +6,12 @@ units' likelihoods. The languages are then ranked by proportion, and the smalles
 (minus PENALTY times the logarithm of the units for each language) is best gives the document's languages and final
 proportions. The language with the greatest proportion is the prediction, its proportion the score.
 
-Models are counted on at most SAMPLE documents of each language; the collected tables are at most GRAMS numbers for
-each language. Null texts and texts without a letter are `und` with score 0. Texts are read whole; rows are
-independent, so repeated rows and ties need no care (of equal proportions the language first in code point order wins).
-Without any learned language every text is `und`.
+Models are counted on at most SAMPLE ids of each language, over all rows that have them; an id counts once however many
+rows it has. What is collected and broadcast is at most GRAMS numbers for each language, and there may be at most LANGS
+languages, more of which raise an error: such labels name no languages. A text's set may grow to all of them. Null texts
+and texts without a letter are `und` with score 0. Texts are read whole; rows are independent, so repeated rows and ties
+need no care (of equal proportions the language first in code point order wins). Without any learned language every text
+is `und`.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentsec.llm.common import blocks, flat, id_and_text
+from contentsec.llm.common import blocks, flat, id_and_text, materialize
 from contentsec.llm.sampling import bounded, remainder
 
 GRAMS, UNIT, SAMPLE, ROUNDS, PENALTY = 1 << 16, 64, 1000, 12, 2.0
+#: Languages that may be learned: 128 MB of numbers.
+LANGS = 512
 
 
 def _classes() -> np.ndarray:
@@ -37,10 +41,15 @@ def _classes() -> np.ndarray:
 _KIND = _classes()
 
 
-def grams(data: np.ndarray) -> np.ndarray:
-    """A number below GRAMS for the gram that starts at each byte (the last two look at absent spaces)."""
+def grams(data: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
+    """A number below GRAMS for the gram that starts at each byte of texts that end before `ends` (else of one text); the
+    last two of a text look at absent spaces."""
     kind = np.concatenate([_KIND[data], np.zeros(2, np.uint32)])
-    return (kind[:-2] * np.uint32(0x9E3779B1) + kind[1:-1] * np.uint32(0x85EBCA77) + kind[2:] * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F) >> np.uint32(16)
+    second, third = kind[1:-1].copy(), kind[2:].copy()
+    for back, column in ((1, second), (1, third), (2, third)):
+        at = (np.array([len(data)]) if ends is None else ends) - back
+        column[at[at >= 0]] = 0
+    return (kind[:-2] * np.uint32(0x9E3779B1) + second * np.uint32(0x85EBCA77) + third * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F) >> np.uint32(16)
 
 
 def has_letter(text: np.ndarray) -> bool:
@@ -65,7 +74,7 @@ class Model:
         before = np.concatenate(([0], np.cumsum(per)))
         starts = np.repeat(offsets[:-1], per) + (np.arange(before[-1]) - np.repeat(before[:-1], per)) * UNIT
         found = np.zeros((len(starts), len(self.langs)))
-        gram, step = grams(data), 1 << 14
+        gram, step = grams(data, offsets[1:]), 1 << 14
         for i in range(0, len(starts), step):
             a = starts[i]
             b = starts[i + step] if i + step < len(starts) else len(data)
@@ -103,10 +112,13 @@ class Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE) -> Model | None:
     """A model from a bounded sample for each language, of documents whose remainder of 4 isn't 2."""
     known = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(lang_col).cast("string").alias("_lang")).filter("_id is not null and _lang is not null").filter(remainder("_id", 4) != 2)
-    chosen = [(r[0], r[1]) for r in bounded(known, "_lang", most, "_id").select("_id", "_lang").collect()]
-    if not chosen:
+    sample = materialize(bounded(known, "_lang", most, "_id").select("_id", "_lang"), "sample")
+    found = sample.select("_lang").distinct().limit(LANGS + 1).count()
+    if not found:
         return None
-    sample = F.broadcast(docs.sparkSession.createDataFrame(chosen, "_id bigint, _lang string"))  # most rows a language
+    if found > LANGS:
+        raise ValueError(f"there are over {LANGS} different languages")
+    sample = F.broadcast(sample)  # most ids of each of LANGS languages, at the most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

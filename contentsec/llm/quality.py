@@ -1,16 +1,18 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-Terms are rolling 3-grams of byte classes (letters, upper case, digits, each sign, line ends, non-ASCII) hashed to
-TERMS columns, and words that repeat the word before; with log counts and inverse document frequencies. A singular value decomposition of the labelled sample
-gives the latent space. The labelled vectors are broadcast, every document's cosines to all of them are computed in
-blocks, and its NEIGHBOURS nearest vote for their labels, weighted by similarity and by what share of its label's rows
-the sample holds.
-
-The model is fitted on at most SAMPLE labelled rows of each label, so what is broadcast is below
-2 * SAMPLE * RANK + (TERMS + REPEATS) * RANK numbers (2 MB), whatever the tables. Labels other than 0 and 1 and rows with a null id
-teach nothing; an id with both labels has the larger. Without labelled rows every score is 0.5. Texts are scored whole;
-null counts as empty, and an empty text has the zero vector, whose score is the share of label 1. Rows are
-independent: repeated rows get equal scores, ties of similarity are broken by the sample's order.
+A text is a sequence of tokens: runs of letters, digits, signs and line ends. Its terms are the tokens in lower case,
+hashed to WORDS columns, pairs of neighbouring tokens' shapes (kind and capitals of a word, sign and length of a run of
+signs), hashed to PAIRS columns, and one for words that repeat the word before; with log counts and inverse document
+frequencies. A singular value decomposition of the labelled sample gives the latent space. The labelled vectors are
+broadcast, every document's cosines to all of them are computed in blocks, and its NEIGHBOURS nearest vote for their
+labels, weighted by similarity and by what share of its label's ids the sample holds.
+
+The model is fitted on at most SAMPLE ids of each label and one text of each id, the least where an id has several, so
+what reaches the driver is bounded, and what is broadcast is below 2 * SAMPLE * RANK + TERMS * RANK numbers (3 MB),
+whatever the tables and however often an id repeats. Labels other than 0 and 1 and rows with a null id teach nothing; an
+id with both labels has the larger. Without labelled rows every score is 0.5. Texts are scored whole; null counts as
+empty, and an empty text has the zero vector, whose score is the share of label 1. Rows are independent: repeated rows
+get equal scores, ties of similarity are broken by the sample's order, which is by id.
 """
 
 from __future__ import annotations
@@ -22,26 +24,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentsec.llm.common import blocks, flat, id_and_text, random_table
+from contentsec.llm.common import blocks, flat, id_and_text, materialize, mix64, random_table
 from contentsec.llm.sampling import bounded, remainder
 
-TERMS, RANK, SAMPLE, NEIGHBOURS, POWER = 4096, 48, 1000, 15, 4
-#: Columns of the one term for repeated words, so many that it weighs like a usual sign of poor text.
-REPEATS = 8
+WORDS, PAIRS, RANK, SAMPLE, NEIGHBOURS, POWER = 8192, 1024, 48, 1000, 15, 4
+TERMS = WORDS + PAIRS + 1
 
 
-def _classes() -> np.ndarray:
-    kind = np.zeros(256, np.uint32)
-    signs = [b for b in range(33, 127) if not chr(b).isalnum()]
-    for i, b in enumerate(signs):
-        kind[b] = 8 + i
-    kind[97:123], kind[65:91], kind[48:58], kind[128:] = 1, 2, 3, 1
-    kind[32], kind[10], kind[13], kind[9] = 4, 5, 5, 6
+def _kinds() -> np.ndarray:
+    """1 letter, 2 digit, 3 line end, 4 sign, 0 white space."""
+    kind = np.zeros(256, np.uint8)
+    kind[33:127] = 4
+    kind[97:123] = kind[65:91] = kind[128:] = 1
+    kind[48:58], kind[10], kind[13] = 2, 3, 3
     return kind
 
 
-_KIND = _classes()
+_KIND = _kinds()
 _BYTE = random_table(256, 11)
+_LOWER = _BYTE.copy()
+_LOWER[65:91] = _BYTE[97:123]
+_POWER = mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 
 def repeats(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -59,25 +62,42 @@ def repeats(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Log counts of each text's terms, one row for each text."""
+    n = len(offsets) - 1
+    out = np.zeros((n, TERMS), np.float32)
     kind = _KIND[data]
-    out = np.zeros((len(offsets) - 1, TERMS + REPEATS), np.float32)
-    if len(kind) < 3:
+    if not kind.any():
         return out
-    out[:, TERMS:] = repeats(data, offsets)[:, None]
-    gram = (kind[:-2] * np.uint32(0x9E3779B1) + kind[1:-1] * np.uint32(0x85EBCA77) + kind[2:] * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F) >> np.uint32(32 - TERMS.bit_length() + 1)
-    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-        if b - a > 2:
-            out[i, :TERMS] = np.bincount(gram[a : b - 2], minlength=TERMS)
-    return np.log1p(out)
+    fresh = np.ones(len(data), bool)
+    fresh[1:] = kind[1:] != kind[:-1]
+    fresh[offsets[:-1][offsets[:-1] < len(data)]] = True
+    first = np.flatnonzero(fresh)
+    size = np.diff(np.append(first, len(data)))
+    place = np.arange(len(data)) - np.repeat(first, size)
+    name = np.add.reduceat(_LOWER[data] * _POWER[place & 63], first)
+    capitals = np.add.reduceat(((data >= 65) & (data <= 90)).astype(np.int32), first)
+    kept = kind[first] > 0
+    first, size, name, capitals = first[kept], size[kept], name[kept], capitals[kept]
+    kind, of = kind[first], np.searchsorted(offsets, first, "right") - 1
+    word = (mix64(name) >> np.uint64(32)).astype(np.int64) % WORDS
+    case = np.where(capitals == 0, 0, np.where((capitals > 1) & (capitals == size), 1, 2))
+    shape = np.where(kind == 1, case, np.where(kind == 4, 8 + data[first].astype(np.int64) + 256 * np.minimum(size - 1, 2), 2 + kind)).astype(np.uint64)
+    same = of[1:] == of[:-1]
+    pair = (mix64(shape[:-1] * np.uint64(1009) + shape[1:]) >> np.uint64(32)).astype(np.int64) % PAIRS
+    at = np.concatenate([of * TERMS + word, of[1:][same] * TERMS + WORDS + pair[same]])
+    out += np.bincount(at, minlength=n * TERMS).reshape(n, TERMS)
+    out[:, -1] = repeats(data, offsets)
+    return np.log1p(out, out=out)
 
 
 class Model:
     """idf and axes of the latent space, unit vectors of the sample, their labels and weights."""
 
     def __init__(self, logs: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
+        """logs is changed."""
         seen = (logs > 0).sum(axis=0)
         self.idf = np.log((1 + len(logs)) / (1 + seen)).astype(np.float32) + 1
-        x = logs * self.idf
+        x = logs
+        x *= self.idf
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         value, vector = np.linalg.eigh((x @ x.T).astype(np.float64))
         top = np.argsort(-value)[:RANK]
@@ -104,25 +124,28 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     """A model from a bounded sample of the labelled documents whose remainder of 3 isn't 1; None without any."""
     known = labels.select(F.col(id_col).cast("bigint").alias("_id"), F.col(label).cast("int").alias("_label")).filter(F.col("_label").isin(0, 1) & F.col("_id").isNotNull()).filter(remainder("_id", 3) != 1)
     known = known.groupBy("_id").agg(F.max("_label").alias("_label"))
+    known = materialize(known, "known")
     sizes = dict(known.groupBy("_label").count().collect())
-    sample = [(r[0], r[1]) for r in bounded(known, "_label", most, "_id").select("_id", "_label").collect()]
-    if not sample:
-        return None
-    spark = docs.sparkSession
-    chosen = F.broadcast(spark.createDataFrame(sample, "_id bigint, _label int"))  # 2 * most rows at the most
+    chosen = F.broadcast(materialize(bounded(known, "_label", most, "_id").select("_id", "_label"), "sample"))  # 2 * most rows at the most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches):
-            logs = counts(*flat(part.column("text")))
-            yield pa.record_batch([part.column("doc_id"), part.column("_label"), pa.array([x.tobytes() for x in logs], pa.binary())], ["doc_id", "_label", "logs"])
+        for part in blocks(batches, limit=2 << 20):
+            for i in range(0, part.num_rows, 512):
+                rows = part.slice(i, 512)
+                logs = counts(*flat(rows.column("text")))
+                full = [np.flatnonzero(x) for x in logs]
+                yield pa.record_batch([rows.column("_id"), rows.column("_label"), pa.array([k.astype(np.uint16).tobytes() for k in full], pa.binary()), pa.array([x[k].tobytes() for k, x in zip(full, logs, strict=True)], pa.binary())], ["_id", "_label", "at", "logs"])
 
-    rows = id_and_text(docs, id_col, text_col).join(chosen, F.col("doc_id") == F.col("_id")).select("doc_id", "_label", "text")
-    got = sorted({(r[0], r[1], bytes(r[2])) for r in rows.mapInArrow(run, "doc_id bigint, _label int, logs binary").collect()})
+    rows = id_and_text(docs, id_col, text_col).join(chosen, F.col("doc_id") == F.col("_id")).groupBy("_id", "_label").agg(F.min("text").alias("text"))
+    got = sorted(map(tuple, rows.mapInArrow(run, "_id bigint, _label int, at binary, logs binary").collect()))
     if not got:
         return None
     y = np.array([r[1] for r in got])
     weights = np.array([sizes.get(int(k), 1) / (y == k).sum() for k in y])
-    return Model(np.stack([np.frombuffer(r[2], np.float32) for r in got]), y, weights / weights.mean())
+    logs = np.zeros((len(got), TERMS), np.float32)
+    for row, (_, _, at, values) in zip(logs, got, strict=True):
+        row[np.frombuffer(at, np.uint16)] = np.frombuffer(values, np.float32)
+    return Model(logs, y, weights / weights.mean())
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

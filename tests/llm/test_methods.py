@@ -6,13 +6,15 @@ import html as entities
 import math
 import random
 import re
+import zlib
 from xml.etree import ElementTree
 
+import numpy as np
 import pytest
 
 import public_tokenizers
 
-from contentsec.llm import byte_bpe, html_extract, suffix_dedup
+from contentsec.llm import byte_bpe, html_extract, language_id, quality, sampling, suffix_dedup
 from contentsec.llm.queries import removal_digests
 
 random.seed(11)
@@ -242,3 +244,97 @@ def _pieces(spark, docs):
     rows = [tuple(r.values()) for b in out for r in b.to_pylist()]
     assert isinstance(table, pa.Table) and max(r[5] for r in rows) <= 137
     return spark.createDataFrame(rows, schema)
+
+
+# 2
+
+
+def brute_language(text, model):
+    """Expectation-maximisation unit by unit over every language set, the smallest first."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    rows = model.logs[language_id.grams(data)].astype(float)
+    units = [rows[i : i + language_id.UNIT].sum(axis=0) for i in range(0, len(rows), language_id.UNIT)]
+
+    def fitted(langs):
+        share = {k: 1 / len(langs) for k in langs}
+        for _ in range(language_id.ROUNDS):
+            total = dict.fromkeys(langs, 0.0)
+            for u in units:
+                p = {k: share[k] * math.exp(u[k] - max(u)) for k in langs}
+                for k in langs:
+                    total[k] += p[k] / max(sum(p.values()), 1e-300)
+            share = {k: t / len(units) for k, t in total.items()}
+        return share, sum(math.log(max(sum(share[k] * math.exp(u[k] - max(u)) for k in langs), 1e-300)) + max(u) for u in units)
+
+    whole, _ = fitted(range(len(model.langs)))
+    ranked = sorted(whole, key=lambda k: (-whole[k], k))
+    best = max(((fitted(ranked[:k]), k) for k in range(1, len(ranked) + 1)), key=lambda x: (x[0][1] - language_id.PENALTY * x[1] * math.log(len(units) + 1), -x[1]))
+    share = best[0][0]
+    top = min(share, key=lambda k: (-share[k], k))
+    return model.langs[top], share[top]
+
+
+def test_mixtures_by_brute_force(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = language_id.fit(docs)
+    texts = [r.text for r in docs.filter("n_chars between 100 and 3000").orderBy("doc_id").limit(25).collect()]
+    texts += [a[:900] + " " + b[:700] for a, b in zip(texts, texts[7:], strict=False)]
+    got = language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).orderBy("doc_id").collect()
+    for r, text in zip(got, texts, strict=True):
+        lang, share = brute_language(text, model)
+        assert r.lang_pred == lang and r.score == pytest.approx(share, abs=1e-5)
+
+
+def test_a_common_id_neither_fills_nor_starves_a_sample(spark):
+    rows = [(1, f"the common words of one id {i % 7}", "en") for i in range(5000)] + [(10 + i, f"other words of id {i}", "en") for i in range(400)] + [(1000 + i, f"andere Wörter der Nummer {i}", "de") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    for most in (20, 200):
+        ids = [(r[0], r[1]) for r in sampling.bounded(docs, "lang", most).select("doc_id", "lang").collect()]
+        assert len(ids) == len(set(ids)) == 2 * most
+    whole = sampling.bounded(docs, "lang", 1000).select("doc_id", "lang").collect()
+    assert len(whole) == 401 + 300
+    got = language_id.identify(docs).collect()
+    assert len(got) == len(rows) and {r.lang_pred for r in got if r.doc_id >= 1000} == {"de"}
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGS", 3)
+    docs = spark.createDataFrame([(4 * i, "some text", f"l{i}") for i in range(40)], "doc_id bigint, text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        language_id.fit(docs)
+
+
+# 6
+
+
+def test_votes_by_brute_force(spark, data):
+    """Cosines in the latent space, one pair after the other."""
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    model = quality.fit(docs, labels)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(60).collect()]
+    got = [r.score for r in quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).orderBy("doc_id").collect()]
+    for text, score in zip(texts, got, strict=True):
+        logs = quality.counts(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))[0]
+        point = (logs * model.idf).astype(float) @ model.axes
+        cosines = [float(point @ k) / max(float(np.linalg.norm(point)), 1e-12) for k in model.known]
+        near = sorted(range(len(cosines)), key=lambda k: -cosines[k])[: quality.NEIGHBOURS]
+        votes = [max(cosines[k], 0) ** quality.POWER * model.weights[k] for k in near]
+        assert score == pytest.approx(sum(v * model.labels[k] for v, k in zip(votes, near, strict=True)) / sum(votes), abs=2e-3)
+
+
+def test_terms_of_a_text():
+    text = b"The Tree, the TREE ### \n the the"
+    logs = quality.counts(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+    words = collections.Counter(np.round(np.expm1(logs[: quality.WORDS])).astype(int)[logs[: quality.WORDS] > 0].tolist())
+    assert words == {4: 1, 2: 1, 1: 3}  # the; tree; comma, ###, line end
+    assert round(math.expm1(logs[-1])) == 1
+
+
+def test_a_common_labelled_id_is_one_row(spark):
+    rows = [(3, f"good words in a row, number {i}") for i in range(5000)] + [(10 + i, f"some text of id {i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(3, 1)] * 100 + [(10 + i, i % 2) for i in range(50)], "doc_id bigint, quality int")
+    model = quality.fit(docs, labels)
+    ids = {i for i in [3, *range(10, 60)] if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert len(model.known) == len(ids)
+    assert quality.classify(docs, labels).count() == len(rows)
