@@ -55,16 +55,26 @@ lists AS (
   SELECT r, unnest(w) AS a, generate_subscripts(w, 1) - 1 AS i FROM lists
 ), grams AS (
   SELECT r, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM words WINDOW o AS (PARTITION BY r ORDER BY i)
+), votes AS (
+  SELECT r, template, label, kind, grams, i - place AS diagonal, place, i AS spot FROM grams JOIN known ON a = x AND b = y AND c = z
 ), lines AS (
-  SELECT r, template, label, kind, grams, i - place AS diagonal, count(DISTINCT place) AS n
-  FROM grams JOIN known ON a = x AND b = y AND c = z GROUP BY ALL
+  SELECT r, template, kind, diagonal, count(*) AS n FROM votes GROUP BY ALL
 ), steps AS (
   SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o > CASE kind WHEN 'long' THEN {scan.DRIFT} ELSE 0 END THEN 1
             WHEN lag(diagonal) OVER o IS NULL THEN 1 ELSE 0 END AS new FROM lines WINDOW o AS (PARTITION BY r, template ORDER BY diagonal)
+), chains AS (
+  SELECT *, sum(new) OVER (PARTITION BY r, template ORDER BY diagonal) AS chain FROM steps
 ), runs AS (
-  SELECT *, sum(new) OVER (PARTITION BY r, template ORDER BY diagonal) AS run FROM steps
+  SELECT r, template, diagonal, n, chain, (diagonal - min(diagonal) OVER (PARTITION BY r, template, chain)) // {scan.WIDE} AS part FROM chains
+), places AS (
+  SELECT r, template, label, kind, grams, chain, part, place, diagonal, spot,
+         row_number() OVER (PARTITION BY r, template, chain, part, place ORDER BY n DESC, diagonal, spot) AS strength FROM votes JOIN runs USING (r, template, diagonal)
+), strongest AS (
+  SELECT *, spot > coalesce(max(spot) OVER (PARTITION BY r, template, chain, part ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS rises FROM places WHERE strength = 1
+), starts AS (
+  SELECT r, template, chain, part, min(diagonal) AS start FROM places GROUP BY ALL
 ), spans AS (
-  SELECT r, template, label, kind, min(diagonal) AS start, least(1.0, CAST(sum(n) AS DOUBLE) / grams) AS share FROM runs GROUP BY r, template, label, kind, grams, run
+  SELECT r, template, label, kind, start, CAST(count(*) FILTER (rises) AS DOUBLE) / grams AS share FROM strongest JOIN starts USING (r, template, chain, part) GROUP BY r, template, label, kind, grams, chain, part, start
 ), good AS (
   SELECT *, CASE kind WHEN 'long' THEN share >= {scan.SHARE} ELSE share >= 1 END AS ok FROM spans
 ), per AS (

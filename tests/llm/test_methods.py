@@ -11,10 +11,11 @@ from xml.etree import ElementTree
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from contentsec.llm import byte_bpe, html_extract, language_id, quality, sampling, suffix_dedup
+from contentsec.llm import byte_bpe, html_extract, language_id, license_scan, quality, sampling, suffix_dedup
 from contentsec.llm.queries import removal_digests
 
 random.seed(11)
@@ -338,3 +339,49 @@ def test_a_common_labelled_id_is_one_row(spark):
     ids = {i for i in [3, *range(10, 60)] if zlib.crc32(str(i).encode()) % 3 != 1}
     assert len(model.known) == len(ids)
     assert quality.classify(docs, labels).count() == len(rows)
+
+
+# 9
+
+
+def test_words_in_java_and_in_sql(spark):
+    text = "aZ09 é_ß-的😀x \x7f\x80\x81 ﬁ {|} `@[ İK" + "".join(map(chr, range(1, 300)))
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+    got = spark.createDataFrame([(text,)], "t string").select(license_scan.words_of(F.col("t")).alias("w")).first().w
+    assert got == re.findall(license_scan.WORD, low)
+
+
+def _long(label):
+    return next(p for x, p, kind in license_scan.TEMPLATES if x == label and kind == "long").split()
+
+
+def test_spans_are_aligned(spark):
+    """Shares by hand: shuffled pieces don't align, a repeated place counts once, a wide chain is no span."""
+    gpl = _long("gpl")
+    n = len(gpl) - 2
+    texts = {
+        1: (gpl, 1.0),
+        2: (gpl[:10] + ["x"] + gpl[10:], (n - 2) / n),
+        3: (gpl[:12] + gpl[9:], None),  # three words twice: nothing is lost, nothing counts twice
+        4: (gpl[20:] + gpl[:20], None),
+        5: ([w for k in range(0, len(gpl), 4) for w in [*gpl[k : k + 4], "x", "y", "z"]], None),
+        6: (gpl[:3] * 40, 1 / n),
+    }
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, (w, _) in texts.items()], "doc_id bigint, text string")
+    spans = license_scan.spans(license_scan.hits(license_scan.candidates(docs))).filter("label = 'gpl'").collect()
+    best = {i: max(r.share for r in spans if r.doc_id == i) for i in texts}
+    for i, (_, share) in texts.items():
+        if share is not None:
+            assert best[i] == pytest.approx(share), i
+    assert all(s <= 1 for s in best.values())
+    assert best[3] > 0.9 and best[4] < 0.7 and best[5] < 0.6
+    labels = {r.doc_id: r.labels for r in license_scan.scan(docs).collect()}
+    assert "gpl" in labels[2].split(",") and "gpl" not in labels[5].split(",") and "gpl" not in labels[6].split(",")
+
+
+def test_a_common_row_is_scanned_once(spark):
+    docs = spark.createDataFrame([(1, "under the MIT license")] * 5000 + [(2, "cc by nc")], "doc_id bigint, text string")
+    got = license_scan.scan(docs).groupBy("doc_id", "n_base", "labels").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 1, "mit", 5000), (2, 1, "cc-by-nc", 1)]
+    votes = license_scan.hits(license_scan.candidates(docs))
+    assert votes.filter("doc_id = 1").count() < 20
