@@ -116,13 +116,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256")
 
 
+#: Dropped rows up to which their table (about 100 bytes a row in memory) is sent to every executor.
+SENT = 500_000
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, whole and with all their columns: of equal texts that of the largest doc_id (of
     repeated rows with that id, each stays; identical whole rows are the caller's to drop).
 
-    Copies are a share of the corpus, so at scale their table is too large to be broadcast; it is hashed by partition at
-    every size, and the texts move once, unsorted."""
-    kept = materialize(exact_groups(docs, id_col, text_col).filter("not kept").select("doc_id", "text_sha256"), "dropped")
-    key = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)
-    gone = kept.select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).distinct().hint("shuffle_hash")
-    return docs.join(gone, F.col(id_col).cast("bigint").eqNullSafe(F.col("_gone_id")) & (key == F.col("_gone_sha")), "left_anti")
+    Each text is recognised in place by its id and digest. The dropped rows are counted: up to SENT of them are sent to
+    every executor, so that no text moves at all; beyond, Spark joins them as their size demands."""
+    gone = exact_groups(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_gone_id"), F.unhex("text_sha256").alias("_gone_sha")).distinct()
+    gone = materialize(gone, "dropped")
+    key = F.unhex(F.sha2(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256))
+    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("_gone_id")) & (key == F.col("_gone_sha"))
+    return docs.join(F.broadcast(gone) if gone.count() <= SENT else gone, same, "left_anti")

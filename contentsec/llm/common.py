@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import shutil
 import tempfile
@@ -26,19 +27,49 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a folder of this process only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{_own_folder()}").rstrip("/")
+    """The folder named in spark.checkpoint.dir. Where that is unset, a folder of this process if its executors run in it
+    too; on a cluster, whose executors would each write to a disk of their own, an error."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"file://{_own_folder()}"
+
+
+#: Tables that this process has written and not yet removed.
+_written: list[str] = []
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to a new table in the shared folder and reads it back: cuts the lineage, survives lost executors,
-    and gives later plans a measured size (so Spark broadcasts only what is below its threshold)."""
+    and gives later plans a measured size (so Spark broadcasts only what is below its threshold). The table is needed for
+    as long as a result that reads it; scratch() or remove_tables() ends that."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_tables(spark: SparkSession, paths: Iterable[str] | None = None) -> None:
+    """Removes tables that materialize() wrote, all or some; results that read them must be done."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in list(_written if paths is None else paths):
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+        _written.remove(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, keep: list[str]) -> Iterator[None]:
+    """Tables written inside are removed at its end, except the last one, whose path is added to keep."""
+    before = len(_written)
+    yield
+    *rest, last = _written[before:]
+    keep.append(last)
+    remove_tables(spark, rest)
+
+
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that an operator uses, so extra columns can't clash; null text is empty."""
     return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contentsec.llm import byte_bpe, chunk_dedup, mixing, quality, simhash
-from contentsec.llm.common import materialize
+from contentsec.llm.common import materialize, remove_tables, scratch
 
 
 def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. A stage's own tables, and the one that it read, are removed when its result is written."""
+    docs, done = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch(spark, done):
+            docs = materialize(stage(spark, docs, sf_dir), name)
+        remove_tables(spark, done[:-1])
+        del done[:-1]
     return docs

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from contentsec.llm import byte_bpe, html_extract, language_id, license_scan, quality, sampling, suffix_dedup
+import corpus_pipeline
+from contentsec.llm import byte_bpe, chunk_dedup, common, html_extract, language_id, license_scan, quality, sampling, suffix_dedup
 from contentsec.llm.queries import removal_digests
 
 random.seed(11)
@@ -385,3 +386,45 @@ def test_a_common_row_is_scanned_once(spark):
     assert sorted(map(tuple, got)) == [(1, 1, "mit", 5000), (2, 1, "cc-by-nc", 1)]
     votes = license_scan.hits(license_scan.candidates(docs))
     assert votes.filter("doc_id = 1").count() < 20
+
+
+# Tables and the pipeline
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context  # noqa: N815
+
+        class conf:  # noqa: N801
+            named = None
+
+            @classmethod
+            def get(cls, name, default):
+                return cls.named if name == "spark.checkpoint.dir" else default
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_folder(Session)
+    Session.conf.named = "hdfs://x/y/"
+    assert common.shared_folder(Session) == "hdfs://x/y"
+    Session.conf.named, Context.master = None, "local[2]"
+    assert common.shared_folder(Session).startswith("file://")
+
+
+def test_the_pipeline_leaves_one_table(spark, data):
+    before = list(common._written)
+    rows = corpus_pipeline.run(spark, data)
+    left = [p for p in common._written if p not in before]
+    assert len(left) == 1 and rows.count() > 100
+    common.remove_tables(spark, left)
+
+
+@pytest.mark.parametrize("sent", [500_000, 0])
+def test_exact_copies_go_by_row(spark, monkeypatch, sent):
+    monkeypatch.setattr(chunk_dedup, "SENT", sent)
+    rows = [(1, "A text"), (5, "a TEXT"), (5, "another"), (3, "another"), (None, "a text"), (None, "x"), (None, "X"), (7, None), (8, ""), (2, "é"), (2, "É")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("text_sha256", F.lit("clash")).withColumn("kept", F.lit(0))
+    got = sorted(((r.doc_id, r.text) for r in chunk_dedup.keep_one(docs).collect()), key=repr)
+    assert got == sorted([(5, "a TEXT"), (5, "another"), (None, "x"), (None, "X"), (8, ""), (2, "é"), (2, "É")], key=repr)
