@@ -1,12 +1,13 @@
 """Readers of binary formats that Spark lacks, on the standard library and numpy, as Arrow functions.
 
-None of them raises for broken input: each returns a struct or an array with what could be read, and `status`.
+None of them raises for broken input: each returns a struct or an array with what could be read, and `status`. JPEG pixels
+are not decoded (status `undecodable`); their EXIF texts are read.
 """
 
 from __future__ import annotations
 
 import io
-import itertools
+import posixpath
 import re
 import struct
 import zipfile
@@ -61,45 +62,147 @@ def png_texts(data: bytes) -> list[dict]:
     return out
 
 
+#: Pixels above which an image isn't decoded; its texts are read all the same, and its status says so.
+MOST_PIXELS = 1 << 26
+
+
+def _unfiltered(lines: np.ndarray, step: int) -> np.ndarray:
+    """Rows of filtered bytes (the first names the filter) to bytes; step: bytes of a pixel. Bytes depend on their left,
+    upper and upper left neighbours only, so each diagonal of pixels is made at once."""
+    height, width = lines.shape[0], (lines.shape[1] - 1) // step
+    kinds, raw = lines[:, 0], lines[:, 1:].reshape(height, width, step).astype(np.int16)
+    if (kinds <= 1).all():  # no row looks at the one above
+        sums = np.cumsum(raw, axis=1, dtype=np.int64) & 255
+        return np.where((kinds == 1)[:, None, None], sums, raw).astype(np.uint8).reshape(height, -1)
+    out = np.zeros((height + 1, width + 1, step), np.int16)
+    for d in range(height + width - 1):
+        y = np.arange(max(0, d - width + 1), min(height, d + 1))
+        x = d - y
+        left, above, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        p = left + above - corner
+        a, b, c = abs(p - left), abs(p - above), abs(p - corner)
+        paeth = np.where((a <= b) & (a <= c), left, np.where(b <= c, above, corner))
+        kind = kinds[y][:, None]
+        guess = np.select([kind == 1, kind == 2, kind == 3, kind == 4], [left, above, (left + above) >> 1, paeth], 0)
+        out[y + 1, x + 1] = (raw[y, x] + guess) & 255
+    return out[1:, 1:].astype(np.uint8).reshape(height, -1)
+
+
+#: First column and row, and steps, of the seven passes of an interlaced PNG.
+_PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
 def png_pixels(data: bytes) -> np.ndarray | None:
-    """rows x columns x channels of an 8-bit, not interlaced grey, RGB or RGBA image."""
-    parts = dict.fromkeys((b"IHDR", b"IDAT"), b"")
+    """rows x columns x channels, 8 bits each: grey, RGB or RGBA, palettes resolved, of any depth, interlaced or not."""
+    parts = dict.fromkeys((b"IHDR", b"IDAT", b"PLTE"), b"")
     for kind, body in png_chunks(data):
         if kind in parts:
             parts[kind] += body
     if len(parts[b"IHDR"]) != 13:
         return None
     width, height, depth, colour, _, _, interlace = struct.unpack(">IIBBBBB", parts[b"IHDR"])
-    channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(colour)
-    if depth != 8 or interlace or not channels or width * height * channels > 1 << 27:
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(colour)
+    if not channels or depth not in (1, 2, 4, 8, 16) or not width * height or width * height > MOST_PIXELS:
         return None
-    raw = inflate(parts[b"IDAT"], height * (width * channels + 1))
-    if len(raw) < height * (width * channels + 1):
+    bits = channels * depth
+    areas = [(x, y, dx, dy, -(-(width - x) // dx), -(-(height - y) // dy)) for x, y, dx, dy in (_PASSES if interlace else ((0, 0, 1, 1),))]
+    need = sum(h * (-(-w * bits // 8) + 1) for *_, w, h in areas if w > 0 and h > 0)
+    raw, at = np.frombuffer(inflate(parts[b"IDAT"], need), np.uint8), 0
+    if len(raw) < need:
         return None
-    lines = np.frombuffer(raw, np.uint8).reshape(height, width * channels + 1)
     out = np.zeros((height, width, channels), np.uint8)
-    above = np.zeros((width, channels), np.int64)
-    for y in range(height):
-        line, kind = lines[y, 1:].reshape(width, channels).astype(np.int64), lines[y, 0]
-        if kind == 1:
-            line = np.cumsum(line, axis=0)
-        elif kind == 2:
-            line = line + above
-        elif kind in (3, 4):
-            for x in range(width):
-                left, corner = (line[x - 1], above[x - 1]) if x else (0 * above[0], 0 * above[0])
-                if kind == 3:
-                    guess = (left + above[x]) // 2
-                else:
-                    p = left + above[x] - corner
-                    a, b, c = abs(p - left), abs(p - above[x]), abs(p - corner)
-                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, above[x], corner))
-                line[x] = (line[x] + guess) & 255
-        above = line & 255
-        out[y] = above
+    for x, y, dx, dy, w, h in areas:
+        if w <= 0 or h <= 0:
+            continue
+        size = -(-w * bits // 8) + 1
+        row = _unfiltered(raw[at : at + h * size].reshape(h, size), max(1, bits // 8))
+        at += h * size
+        if depth == 16:
+            values = row.reshape(h, w, channels, 2)[..., 0]
+        elif depth == 8:
+            values = row.reshape(h, w, channels)
+        else:
+            single = np.unpackbits(row, axis=1)[:, : w * bits].reshape(h, w, depth)
+            values = (single @ (1 << np.arange(depth - 1, -1, -1))).astype(np.uint8)[..., None]
+            if colour == 0:
+                values = values * (255 // ((1 << depth) - 1))
+        out[y::dy, x::dx] = values
+    if colour == 3:
+        palette = np.frombuffer(parts[b"PLTE"][: len(parts[b"PLTE"]) // 3 * 3], np.uint8).reshape(-1, 3)
+        out = palette[np.minimum(out[..., 0], len(palette) - 1)] if len(palette) else None
     return out
 
 
+def _gif_codes(data: bytes, start: int, most: int) -> bytes:
+    """Palette indices of LZW data, at most `most`."""
+    clear, end = 1 << start, (1 << start) + 1
+    table: list[bytes] = []
+    width, before, out = start + 1, b"", bytearray()
+    bits = have = 0
+    for byte in data:
+        bits |= byte << have
+        have += 8
+        while have >= width:
+            code = bits & (1 << width) - 1
+            bits >>= width
+            have -= width
+            if code == clear:
+                table = [bytes([i]) for i in range(clear)] + [b"", b""]
+                width, before = start + 1, b""
+                continue
+            if code == end or not table or len(out) >= most or code > len(table):
+                return bytes(out[:most])
+            if code == len(table) and not before:
+                return bytes(out[:most])
+            entry = table[code] if code < len(table) else before + before[:1]
+            out += entry
+            if before and len(table) < 4096:
+                table.append(before + entry[:1])
+                if len(table) == 1 << width and width < 12:
+                    width += 1
+            before = entry
+    return bytes(out[:most])
+
+
+def gif_pixels(data: bytes) -> np.ndarray | None:
+    """rows x columns x 3 of a GIF's first frame."""
+    if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
+        return None
+    flags = data[10]
+    shared = 3 << (flags & 7) + 1 if flags & 128 else 0
+    palette, at = data[13 : 13 + shared], 13 + shared
+    while at < len(data):
+        if data[at] == 0x21:  # an extension
+            at += 2
+            while at < len(data) and data[at]:
+                at += data[at] + 1
+            at += 1
+        elif data[at] == 0x2C and at + 10 <= len(data):
+            _, _, width, height, flags = struct.unpack("<HHHHB", data[at + 1 : at + 10])
+            at += 10
+            if flags & 128:
+                size = 3 << (flags & 7) + 1
+                palette, at = data[at : at + size], at + size
+            start, at, body = data[at] if at < len(data) else 0, at + 1, bytearray()
+            while at < len(data) and data[at]:
+                body += data[at + 1 : at + 1 + data[at]]
+                at += data[at] + 1
+            if not 2 <= start <= 8 or not width * height or width * height > MOST_PIXELS or len(palette) < 3:
+                return None
+            codes = np.frombuffer(_gif_codes(bytes(body), start, width * height), np.uint8)
+            if len(codes) < width * height:
+                return None
+            rows = codes.reshape(height, width)
+            if flags & 64:  # rows come in four passes
+                order = [y for first, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for y in range(first, height, step)]
+                rows = rows[np.argsort(order)]
+            colours = np.frombuffer(palette[: len(palette) // 3 * 3], np.uint8).reshape(-1, 3)
+            return colours[np.minimum(rows, len(colours) - 1)]
+        else:
+            return None
+    return None
+
+
 def pixel_statistics(pixels: np.ndarray) -> dict:
     """Of the first three channels: chi-square of the lowest bits against an even split, Shannon entropy of the values;
     and the text that the first channel's lowest bits spell."""
@@ -146,24 +249,49 @@ def tiff_texts(data: bytes) -> list[dict]:
 
 
 def image_features(data: bytes) -> dict:
-    pixels = png_pixels(data)
+    pixels = gif_pixels(data) if data[:3] == b"GIF" else png_pixels(data)
     return {"texts": png_texts(data), "exif": tiff_texts(data)} | (pixel_statistics(pixels) if pixels is not None else {"chi_square": [], "entropy": [], "message": ""}) | {"status": "ok" if pixels is not None else "undecodable"}
 
 
+#: Inflated bytes of a stream; what is longer is cut, and said to be.
+STREAM = 16 << 20
+
+
+def _shown(body: bytes) -> list[bytes]:
+    found = re.findall(rb"\(((?:\\.|[^()\\])*)\)\s*(?:Tj|')|\[((?:\((?:\\.|[^()\\])*\)|[^\]])*)\]\s*TJ", body, re.DOTALL)
+    return [a or b"".join(re.findall(rb"\(((?:\\.|[^()\\])*)\)", b)) for a, b in found]
+
+
 def pdf_text(data: bytes, pages: int) -> dict:
-    """Shown text of at most `pages` pages (content streams) and the metadata strings; streams are inflated if need be."""
+    """Shown text of the first `pages` pages and the metadata strings; streams are inflated if need be. A file whose page
+    objects can't be seen (none, or packed in streams) gives the text of all its streams. cut: pages and streams of which
+    something was left out."""
     if not data.startswith(b"%PDF"):
-        return {"status": "pdf_parse_error", "text": "", "info": []}
+        return {"status": "pdf_parse_error", "text": "", "info": [], "cut": 0}
+    streams, owners, contents, cut = [], {}, [], 0
+    for m in re.finditer(rb"(?:(\d+)\s+\d+\s+obj\b((?:(?!endobj).)*?))?stream\r?\n(.*?)\r?\nendstream", data, re.DOTALL):
+        if m[1]:
+            owners[int(m[1])] = len(streams)
+        streams.append((m[2] or b"", m[3]))
+    for m in re.finditer(rb"\bobj\b((?:(?!endobj|stream\r?\n).)*?/Type\s*/Page\b(?:(?!endobj).)*)", data, re.DOTALL):
+        found = re.search(rb"/Contents\s*(?:\[([^\]]*)\]|(\d+\s+\d+\s+R))", m[1])
+        contents.append([int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", found[1] or found[2])] if found else [])
+    if any(contents):
+        cut += max(0, len(contents) - pages)
+        chosen = [streams[owners[k]] for own in contents[:pages] for k in own if k in owners]
+    else:
+        chosen = [x for x in streams if not re.search(rb"/Subtype\s*/Image|/FontFile|/Length1", x[0])]
     texts = []
-    for m in itertools.islice(re.finditer(rb"stream\r?\n(.*?)\r?\nendstream", data, re.DOTALL), pages):
-        body = inflate(m[1], 16 << 20) or m[1]
-        shown = re.findall(rb"\(((?:\\.|[^()\\])*)\)\s*(?:Tj|')|\[((?:\((?:\\.|[^()\\])*\)|[^\]])*)\]\s*TJ", body, re.DOTALL)
-        texts += [a or b"".join(re.findall(rb"\(((?:\\.|[^()\\])*)\)", b)) for a, b in shown]
+    for _, packed in chosen:
+        body = inflate(packed, STREAM) or packed
+        cut += len(body) >= STREAM
+        texts += _shown(body)
     info = [{"key": k.decode(), "text": re.sub(rb"\\(.)", rb"\1", v).decode("latin-1")} for k, v in re.findall(rb"/(Title|Author|Subject|Keywords|Creator|Producer)\s*\(((?:\\.|[^()\\])*)\)", data)]
-    return {"status": "ok" if b"%%EOF" in data or b"endobj" in data else "pdf_parse_error", "text": " ".join(re.sub(rb"\\(.)", rb"\1", t).decode("latin-1") for t in texts), "info": info}
+    return {"status": "ok" if b"%%EOF" in data or b"endobj" in data else "pdf_parse_error", "text": " ".join(re.sub(rb"\\(.)", rb"\1", t).decode("latin-1") for t in texts), "info": info, "cut": cut}
 
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
 def workbook(data: bytes, sheets: int) -> dict:
@@ -176,10 +304,12 @@ def workbook(data: bytes, sheets: int) -> dict:
             book = ElementTree.fromstring(z.read("xl/workbook.xml"))
             shared = [("".join(t.text or "" for t in si.iter(f"{_MAIN}t"))) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
             out["names"] = [{"key": n.get("name", ""), "text": n.text or ""} for n in book.iter(f"{_MAIN}definedName")]
+            parts = {r.get("Id"): posixpath.normpath(posixpath.join("xl", r.get("Target", ""))).lstrip("/") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))} if "xl/_rels/workbook.xml.rels" in names else {}
             for k, sheet in enumerate(book.iter(f"{_MAIN}sheet")):
-                if f"xl/worksheets/sheet{k + 1}.xml" not in names:
+                part = parts.get(sheet.get(_RELATION), f"xl/worksheets/sheet{k + 1}.xml")
+                if part not in names:
                     continue
-                for c in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{k + 1}.xml")).iter(f"{_MAIN}c"):
+                for c in ElementTree.fromstring(z.read(part)).iter(f"{_MAIN}c"):
                     value, formula = c.findtext(f"{_MAIN}v") or "", c.findtext(f"{_MAIN}f") or ""
                     kind = c.get("t", "n")
                     if kind == "s" and value.isdigit() and int(value) < len(shared):
@@ -190,7 +320,7 @@ def workbook(data: bytes, sheets: int) -> dict:
             for name in names:
                 if re.fullmatch(r"xl/comments\d*\.xml", name):
                     out["comments"] += ["".join(t.text or "" for t in c.iter(f"{_MAIN}t")) for c in ElementTree.fromstring(z.read(name)).iter(f"{_MAIN}comment")]
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, zlib.error, ValueError, NotImplementedError, EOFError):
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, zlib.error, ValueError, NotImplementedError, EOFError, RuntimeError):  # the last: encrypted
         out["status"] = "excel_parse_error"
     return out
 
@@ -217,19 +347,26 @@ def calendar(data: bytes, events: int) -> dict:
 
 _PAIR = [("key", pa.string()), ("text", pa.string())]
 _IMAGE = pa.struct([("texts", pa.list_(pa.struct([("kind", pa.string()), *_PAIR]))), ("exif", pa.list_(pa.struct([("kind", pa.string()), *_PAIR]))), ("chi_square", pa.list_(pa.float64())), ("entropy", pa.list_(pa.float64())), ("message", pa.string()), ("status", pa.string())])
-_PDF = pa.struct([("status", pa.string()), ("text", pa.string()), ("info", pa.list_(pa.struct(_PAIR)))])
+_PDF = pa.struct([("status", pa.string()), ("text", pa.string()), ("info", pa.list_(pa.struct(_PAIR))), ("cut", pa.int32())])
 _CELL = [("sheet", pa.string()), ("place", pa.int32()), ("state", pa.string()), ("cell", pa.string()), ("text", pa.string()), ("formula", pa.string())]
 _BOOK = pa.struct([("status", pa.string()), ("macros", pa.bool_()), ("cells", pa.list_(pa.struct(_CELL))), ("comments", pa.list_(pa.string())), ("names", pa.list_(pa.struct(_PAIR)))])
 _CALENDAR = pa.struct([("status", pa.string()), ("properties", pa.list_(pa.struct([("component", pa.string()), ("name", pa.string()), ("parameters", pa.string()), ("text", pa.string())])))])
 
 
 def _function(of: Callable[[bytes], dict], kind: pa.DataType, ddl: str) -> Callable[[Column], Column]:
-    """An Arrow function of a binary column; null gives null."""
+    """An Arrow function of a binary column; null gives null. A reader that fails on a file gives the status `error`
+    for it, whatever went wrong, so one file never fails the job."""
+
+    def one(b: bytes) -> dict:
+        try:
+            return of(b)
+        except Exception as e:  # noqa: BLE001
+            return {"status": "error", "text": type(e).__name__}
 
     @F.arrow_udf(ddl)
     def run(data: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in data:
-            yield pa.array([None if b is None else of(b) for b in batch.to_pylist()], kind)
+            yield pa.array([None if (value := b.as_py()) is None else one(value) for b in batch], kind)
 
     return run
 
@@ -240,7 +377,7 @@ def images(data: Column) -> Column:
 
 
 def pdfs(data: Column, pages: int) -> Column:
-    return _function(lambda b: pdf_text(b, pages), _PDF, "struct<status:string,text:string,info:array<struct<key:string,text:string>>>")(data)
+    return _function(lambda b: pdf_text(b, pages), _PDF, "struct<status:string,text:string,info:array<struct<key:string,text:string>>,cut:int>")(data)
 
 
 def workbooks(data: Column, sheets: int) -> Column:

@@ -1,7 +1,9 @@
-"""One pass over a page's markup that gives all that the page detectors look at, as a struct column.
+"""One pass over a page's markup that gives all that the page detectors look at, and the page without what is hidden, as
+a struct column.
 
 Spark has no HTML parser; this Arrow function runs the standard library's once for each page. Elements without
-attributes are not listed. A page that can't be parsed gives what was read of it, never an error.
+attributes are not listed, and only hidden ones have their text, so the struct doesn't grow with the depth of the page.
+A page that can't be parsed gives what was read of it, never an error.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ PAGE = (
     "struct<elements:array<struct<tag:string,attrs:map<string,string>,classes:array<string>,text:string,hidden_inline:boolean>>,"
     "hidden_classes:array<string>,scripts:array<string>,css_variables:map<string,string>,fragments:array<string>,"
     "foreign_objects:array<struct<text:string,html:string>>,images:array<string>,visible_text:string,"
-    "tag_counts:map<string,int>,meta_signatures:array<string>,canonical:string,og:map<string,string>>"
+    "tag_counts:map<string,int>,meta_signatures:array<string>,canonical:string,og:map<string,string>,sanitized:string>"
 )
 _TEXT = pa.string()
 _STRINGS = pa.map_(_TEXT, _TEXT)
@@ -45,6 +47,7 @@ _ARROW = pa.struct(
         ("meta_signatures", pa.list_(_TEXT)),
         ("canonical", _TEXT),
         ("og", _STRINGS),
+        ("sanitized", _TEXT),
     ]
 )
 
@@ -54,11 +57,21 @@ def hides(style: str) -> bool:
     return any(p.search(style) for p in _INLINE) or any(all(p.search(style) for p in both) for both in _TOGETHER)
 
 
+_DROP = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.IGNORECASE)
+
+
 class _Page(HTMLParser):
-    def __init__(self) -> None:
+    """Elements, texts and the page's kept parts. An event reaches from its place to the next event's, so what is kept
+    is cut from the page as it is, references and all."""
+
+    def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
+        self.html = html
+        self.lines = [0, *(m.end() for m in re.finditer("\n", html))]
+        self.at, self.keeps, self.kept = 0, True, []
         self.open: list[dict] = []
         self.seen: list[dict] = []
+        self.pieces: list[str] = []
         self.visible: list[str] = []
         self.scripts: list[str] = []
         self.styles: list[str] = []
@@ -66,38 +79,69 @@ class _Page(HTMLParser):
         self.counts = dict.fromkeys(patterns.COUNTED, 0)
         self.skip = 0
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+    def _event(self, keep: bool) -> None:
+        line, offset = self.getpos()
+        place = self.lines[line - 1] + offset if line <= len(self.lines) else len(self.html)
+        if self.keeps and place > self.at:
+            self.kept.append(self.html[self.at : place])
+        self.at, self.keeps = max(self.at, place), keep
+
+    def sanitized(self) -> str:
+        rest = self.html[self.at :] if self.keeps else ""
+        return re.sub(f"[{patterns.ZERO_WIDTH}]", "", "".join(self.kept) + rest)
+
+    def _gone(self) -> bool:
+        return bool(self.open) and self.open[-1]["gone"]
+
+    def _start(self, tag: str, attrs: list[tuple[str, str | None]], ends: bool) -> None:
         if tag in _CLOSES_P and any(e["tag"] == "p" for e in self.open[-3:]):
-            self.handle_endtag("p")
+            self._close("p")
         if tag == "li" and self.open and self.open[-1]["tag"] == "li":
-            self.handle_endtag("li")
-        element = {"tag": tag, "attrs": {k: v or "" for k, v in attrs}, "pieces": [], "raw": [self.get_starttag_text() or ""]}
+            self._close("li")
+        attributes = {k: v or "" for k, v in attrs}
+        gone = self._gone() or tag == "foreignobject" or attributes.get("aria-hidden") == "true" or bool(_DROP.search(attributes.get("style", "")))
+        self._event(not gone)
+        raw = self.get_starttag_text() or ""
+        element = {"tag": tag, "attrs": attributes, "first": len(self.pieces), "last": len(self.pieces), "raw": [raw], "gone": gone}
         for outer in self.open:
             if outer["tag"] == "foreignobject":
-                outer["raw"] += element["raw"]
+                outer["raw"].append(raw)
         self.counts[tag] = self.counts.get(tag, 0) + 1
         self.seen.append(element)
         if tag not in _VOID:
             self.open.append(element)
             self.skip += tag in ("script", "style", "foreignobject")
+            if ends:
+                self._close(tag)
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self._start(tag, attrs, False)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in _VOID:
-            self.handle_endtag(tag)
+        self._start(tag, attrs, True)
 
-    def handle_endtag(self, tag: str) -> None:
+    def _close(self, tag: str) -> bool | None:
+        """Ends the innermost open element of this name and all in it; whether it was kept, None if there is none."""
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i]["tag"] == tag:
                 for e in self.open[i:]:
+                    e["last"] = len(self.pieces)
                     self.skip -= e["tag"] in ("script", "style", "foreignobject")
-                    if any(o["tag"] == "foreignobject" for o in self.open[:i]):
-                        for o in self.open[:i]:
+                    for o in self.open[:i]:
+                        if o["tag"] == "foreignobject":
                             o["raw"].append(f"</{e['tag']}>")
+                kept = not self.open[i]["gone"]
                 del self.open[i:]
-                return
+                return kept
+        return None
+
+    def handle_endtag(self, tag: str) -> None:
+        keep = not self._gone()
+        kept = self._close(tag)
+        self._event(keep if kept is None else kept)
 
     def handle_data(self, data: str) -> None:
+        self._event(not self._gone())
         inner = self.open[-1]["tag"] if self.open else ""
         if inner == "script":
             self.scripts.append(data)
@@ -105,8 +149,7 @@ class _Page(HTMLParser):
             self.styles.append(data)
         else:
             if (piece := data.strip()):
-                for e in self.open:
-                    e["pieces"].append(piece)
+                self.pieces.append(piece)
                 if not self.skip:
                     self.visible.append(piece)
             for e in self.open:
@@ -114,27 +157,45 @@ class _Page(HTMLParser):
                     e["raw"].append(data)
 
     def handle_comment(self, data: str) -> None:
+        self._event(False)
         self.comments.append(data.strip())
 
+    def handle_decl(self, decl: str) -> None:
+        self._event(not self._gone())
+
+    def handle_pi(self, data: str) -> None:
+        self._event(not self._gone())
+
+    def unknown_decl(self, data: str) -> None:
+        self._event(not self._gone())
+
+    def text(self, element: dict) -> str:
+        return "".join(self.pieces[element["first"] : element["last"]])
+
 
 def page_features(html: str) -> dict:
-    page = _Page()
+    page = _Page(html)
     try:
         page.feed(html)
         page.close()
     except (AssertionError, ValueError, RecursionError):  # what was read so far counts
         pass
+    for e in page.open:
+        e["last"] = len(page.pieces)
     css = "\n".join(page.styles)
     hidden = [name for selector, body in re.findall(r"([^{}]+)\{([^{}]*)\}", css) if any(p.search(body) for p in _RULE) for name in re.findall(r"\.([\w-]+)", selector)]
+    unseen = set(hidden)
     inline = [e["attrs"]["style"] for e in page.seen if e["attrs"].get("style")]
     variables = dict(re.findall(r"(--[\w-]+)\s*:\s*([^;{}]+)", "\n".join([css, *inline])))
     variables = {k: v.strip().strip("\"'") for k, v in variables.items()}
     elements, metas, og, canonical, images, objects = [], [], {}, None, [], []
     styled = []
     for e in page.seen:
-        attrs, text = e["attrs"], "".join(e["pieces"])
+        attrs = e["attrs"]
         if attrs:
-            elements.append({"tag": e["tag"], "attrs": list(attrs.items()), "classes": attrs.get("class", "").split(), "text": text, "hidden_inline": bool(attrs.get("style")) and hides(attrs["style"])})
+            classes, inline_hidden = attrs.get("class", "").split(), bool(attrs.get("style")) and hides(attrs["style"])
+            text = page.text(e) if inline_hidden or attrs.get("aria-hidden") == "true" or not unseen.isdisjoint(classes) else None
+            elements.append({"tag": e["tag"], "attrs": list(attrs.items()), "classes": classes, "text": text, "hidden_inline": inline_hidden})
         if e["tag"] == "meta":
             for key in ("charset", "http-equiv", "name", "property"):
                 if attrs.get(key):
@@ -147,15 +208,15 @@ def page_features(html: str) -> dict:
         elif e["tag"] == "img" and (source := attrs.get("src") or attrs.get("data-src")):
             images.append(source)
         elif e["tag"] == "foreignobject":
-            objects.append({"text": text, "html": "".join(e["raw"])})
-        if attrs.get("style") and any(p.search(attrs["style"]) for p in _RULE) and len(text) >= 3:
+            objects.append({"text": page.text(e), "html": "".join(e["raw"])})
+        if attrs.get("style") and any(p.search(attrs["style"]) for p in _RULE) and len(text := page.text(e)) >= 3:
             styled.append(text)
-    aria = ["".join(e["pieces"]) for e in page.seen if e["attrs"].get("aria-hidden") == "true"]
+    aria = [page.text(e) for e in page.seen if e["attrs"].get("aria-hidden") == "true"]
     visible = re.sub(f"[{patterns.ZERO_WIDTH}]", "", " ".join(page.visible)).strip()
     return {
         "elements": elements, "hidden_classes": hidden, "scripts": page.scripts, "css_variables": list(variables.items()),
         "fragments": [*page.comments, *(t for t in aria if len(t) >= 3), *styled], "foreign_objects": objects, "images": images, "visible_text": visible,
-        "tag_counts": [(t, page.counts[t]) for t in patterns.COUNTED], "meta_signatures": sorted(set(metas)), "canonical": canonical, "og": list(og.items()),
+        "tag_counts": [(t, page.counts[t]) for t in patterns.COUNTED], "meta_signatures": sorted(set(metas)), "canonical": canonical, "og": list(og.items()), "sanitized": page.sanitized(),
     }
 
 
@@ -175,58 +236,6 @@ def parse(html: Column) -> Column:
     return _function(page_features, _ARROW, PAGE)(F.coalesce(html, F.lit("")))
 
 
-_DROP = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.IGNORECASE)
-
-
-class _Clean(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=False)
-        self.out: list[str] = []
-        self.dropped: list[str] = []
-
-    def handle_starttag(self, tag, attrs):  # noqa: ANN001
-        a = {k: v or "" for k, v in attrs}
-        gone = tag == "foreignobject" or a.get("aria-hidden") == "true" or bool(_DROP.search(a.get("style", "")))
-        if tag not in _VOID and (self.dropped or gone):
-            self.dropped.append(tag)
-        elif not self.dropped and not gone:
-            self.out.append(self.get_starttag_text() or "")
-
-    def handle_startendtag(self, tag, attrs):  # noqa: ANN001
-        if not self.dropped:
-            self.out.append(self.get_starttag_text() or "")
-
-    def handle_endtag(self, tag):  # noqa: ANN001
-        if self.dropped:
-            if tag in self.dropped:
-                del self.dropped[len(self.dropped) - 1 - self.dropped[::-1].index(tag) :]
-        else:
-            self.out.append(f"</{tag}>")
-
-    def _keep(self, text: str) -> None:
-        if not self.dropped:
-            self.out.append(text)
-
-    def handle_data(self, data):  # noqa: ANN001
-        self._keep(data)
-
-    def handle_entityref(self, name):  # noqa: ANN001
-        self._keep(f"&{name};")
-
-    def handle_charref(self, name):  # noqa: ANN001
-        self._keep(f"&#{name};")
-
-    def handle_decl(self, decl):  # noqa: ANN001
-        self._keep(f"<!{decl}>")
-
-
-def clean(html: str) -> str:
-    """Without comments, zero-width characters and hidden elements."""
-    parser = _Clean()
-    parser.feed(html)
-    parser.close()
-    return re.sub(f"[{patterns.ZERO_WIDTH}]", "", "".join(parser.out))
-
-
 def sanitize(html: Column) -> Column:
-    return _function(clean, pa.string(), "string")(html)
+    """Without comments, zero-width characters and hidden elements; null for null. What isn't dropped stays as it is."""
+    return F.when(html.isNotNull(), parse(html)["sanitized"])

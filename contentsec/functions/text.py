@@ -22,51 +22,58 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-#: Letters that Java and Python take for `s` and `i` in any case, though their lower case isn't.
-_ODD = ("ſ", "ı", "İ")
+def folded(text: Column) -> Column:
+    """The lower case in which plain searches find all that a pattern could match in any case: letters that Java and
+    Python take for `s` and `i`, though their lower case isn't, are folded too. Worked out once for each text, it serves
+    the guards of all patterns."""
+    low = F.lower(text)
+    return F.when(text.rlike("[^\\x00-\\x7F]"), F.translate(low, "ſı\u0307", "si")).otherwise(low)
 
 
-def _may(text: Column, low: Column, pattern: str) -> Column | None:
-    """Whether a text (and its lower case) can match at all, by plain searches, which cost far less than the pattern."""
+def _may(low: Column, pattern: str) -> Column | None:
+    """Whether a text with this folded form can match at all, by plain searches, which cost far less than the pattern."""
     needs = patterns.required(pattern)
     if needs is None:
         return None
-    out = F.lit(False)
-    for odd in _ODD:
-        out = out | text.contains(odd)
+    out = None
     for all_of in needs:
         held = low.contains(all_of[0])
         for more in all_of[1:]:
             held = held & low.contains(more)
-        out = out | held
+        out = held if out is None else out | held
     return out
 
 
-def _guarded(text: Column, low: Column, pattern: str, value: Column) -> Column:
-    may = _may(text, low, pattern)
+def _guarded(low: Column, pattern: str, value: Column) -> Column:
+    may = _may(low, pattern)
     return value if may is None else F.when(may, value)
 
 
-def found(text: Column, pattern: str, flags: str = patterns.ANY_CASE) -> Column:
+def _with_low(text: Column, low: Column | None, of: Callable[[Column, Column], Column]) -> Column:
+    """of(text, its folded form), which is made here unless it is given."""
+    return of(text, low) if low is not None else let(text, lambda t: let(folded(t), lambda x: of(t, x)))
+
+
+def found(text: Column, pattern: str, flags: str = patterns.ANY_CASE, low: Column | None = None) -> Column:
     """Whether the pattern occurs; null for a null text."""
-    return let(text, lambda t: F.when(t.isNotNull(), F.coalesce(_guarded(t, F.lower(t), pattern, t.rlike(flags + pattern)), F.lit(False))))
+    return _with_low(text, low, lambda t, x: F.when(t.isNotNull(), F.coalesce(_guarded(x, pattern, t.rlike(flags + pattern)), F.lit(False))))
 
 
-def first_match(text: Column, these: Iterable[str], flags: str = patterns.ANY_CASE) -> Column:
+def first_match(text: Column, these: Iterable[str], flags: str = patterns.ANY_CASE, low: Column | None = None) -> Column:
     """What the first pattern that occurs matches first; null if none occurs."""
     these = list(these)
-    return let(text, lambda t: let(F.lower(t), lambda low: F.coalesce(*(_guarded(t, low, p, F.regexp_substr(t, F.lit(flags + p))) for p in these))))
+    return _with_low(text, low, lambda t, x: F.coalesce(*(_guarded(x, p, F.regexp_substr(t, F.lit(flags + p))) for p in these)))
 
 
-def count_patterns(text: Column, these: Iterable[str]) -> Column:
+def count_patterns(text: Column, these: Iterable[str], low: Column | None = None) -> Column:
     """How many of the patterns occur."""
-    return F.when(text.isNotNull(), F.size(matched_patterns(text, these)))
+    return F.when(text.isNotNull(), F.size(matched_patterns(text, these, low)))
 
 
-def matched_patterns(text: Column, these: Iterable[str]) -> Column:
+def matched_patterns(text: Column, these: Iterable[str], low: Column | None = None) -> Column:
     """The first match of each pattern that occurs, in the patterns' order."""
     these = list(these)
-    every = let(text, lambda t: let(F.lower(t), lambda low: F.array(*(_guarded(t, low, p, F.regexp_substr(t, F.lit(patterns.ANY_CASE + p))) for p in these))))
+    every = _with_low(text, low, lambda t, x: F.array(*(_guarded(x, p, F.regexp_substr(t, F.lit(patterns.ANY_CASE + p))) for p in these)))
     return F.filter(every, lambda m: m.isNotNull())
 
 
@@ -91,7 +98,11 @@ def _nfkc() -> Callable[[Column], Column]:
 def normalize(text: Column, compatibility: bool = True) -> Column:
     """unmask(), then Unicode compatibility composition, which Spark lacks (the one Python step; leave it out for a
     native plan where texts are composed already)."""
-    return _nfkc()(unmask(text)) if compatibility else unmask(text)
+    plain = unmask(text)
+    if not compatibility:
+        return plain
+    other = text.rlike("[^\\x00-\\x7F]")  # only these reach Python
+    return F.when(other, _nfkc()(F.when(other, plain))).otherwise(plain)
 
 
 def keyword(text: Column, keywords: Iterable[str] = patterns.KEYWORDS) -> Column:
@@ -114,7 +125,7 @@ def base64_runs(text: Column) -> Column:
         raw = F.when(fits, F.try_to_binary(whole, F.lit("base64")))
         return F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("�"), F.lit(""))
 
-    runs = F.when(text.rlike("[A-Za-z0-9+/]{20}"), runs).otherwise(F.array().cast("array<string>"))
+    runs = F.when(text.rlike("(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{20}"), runs).otherwise(F.array().cast("array<string>"))
     return F.filter(F.transform(runs, decoded), lambda t: t.isNotNull() & t.rlike("(?U)\\p{IsAlphabetic}"))
 
 
@@ -124,12 +135,18 @@ def percent_decoded(text: Column) -> Column:
     return F.when(text.contains("%"), F.coalesce(F.try_url_decode(safe), text)).otherwise(text)
 
 
+def payloads(text: Column) -> Column:
+    """What the text's base64 runs hold, and its percent-decoded form where that differs; usually nothing."""
+    other = let(percent_decoded(text), lambda d: F.when(d != text, F.array(d)).otherwise(F.array().cast("array<string>")))
+    return F.concat(base64_runs(text), other)
+
+
 def decode_payloads(text: Column) -> Column:
     """The text, what its base64 runs hold, and its percent-decoded form where that differs, one to a line."""
     return let(text, lambda t: let(percent_decoded(t), lambda d: F.concat_ws("\n", t, base64_runs(t), F.when(d != t, d))))
 
 
-def spans(text: Column, pattern: str, flags: str = patterns.ANY_CASE) -> Column:
+def spans(text: Column, pattern: str, flags: str = patterns.ANY_CASE, low: Column | None = None) -> Column:
     """array<struct<start int, stop int, match string>>: all matches, in code points from 0.
 
     Spark has no positions of matches; the pieces between them give the starts."""
@@ -142,12 +159,12 @@ def spans(text: Column, pattern: str, flags: str = patterns.ANY_CASE) -> Column:
         return F.concat(done, F.array(F.struct(start.alias("start"), (start + F.length(pair["match"])).alias("stop"), pair["match"].alias("match"))))
 
     pairs = F.filter(F.arrays_zip(pieces.alias("piece"), matches.alias("match")), lambda p: p["match"].isNotNull())
-    return F.when(found(text, pattern, flags), F.aggregate(pairs, empty, step)).otherwise(empty)
+    return F.when(found(text, pattern, flags, low), F.aggregate(pairs, empty, step)).otherwise(empty)
 
 
-def first_start(text: Column, pattern: str, flags: str = patterns.ANY_CASE) -> Column:
+def first_start(text: Column, pattern: str, flags: str = patterns.ANY_CASE, low: Column | None = None) -> Column:
     """Where the first match starts, in code points from 0; null without one."""
-    return F.when(found(text, pattern, flags), F.length(F.element_at(F.split(text, flags + pattern, 2), 1)))
+    return F.when(found(text, pattern, flags, low), F.length(F.element_at(F.split(text, flags + pattern, 2), 1)))
 
 
 def around(text: Column, start: Column, stop: Column, reach: int) -> Column:

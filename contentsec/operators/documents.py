@@ -22,6 +22,22 @@ def _hit(text: Column) -> Column:
     return T.first_match(text, patterns.KEYWORDS)
 
 
+def _judged(read: Column, good: Column, error: str, evidence: str) -> Column:
+    """The signals of a file that could be read, or one that says that it couldn't, or that its reader failed."""
+    failed = some(_signal("document_scan_error", 0.30, F.lit("the reader failed")))
+    return F.when(read["status"] == "ok", good).when(read["status"] == "error", failed).when(read.isNotNull(), some(_signal(error, 0.35, F.lit(evidence))))
+
+
+def unread(reason: Column) -> Column:
+    """The signal of a file that was not read, with the reason why."""
+    return some(F.when(reason.isNotNull(), _signal("document_read_error", 0.30, reason)))
+
+
+def cut(data: Column, config: Config = Config()) -> Column:  # noqa: B008
+    """How many pages and streams of a PDF were left out because of the limits; 0 for other files."""
+    return F.coalesce(pdfs(F.when(kind(data, config) == "pdf", data), config.pdf_pages)["cut"], F.lit(0))
+
+
 def kind(data: Column, config: Config = Config()) -> Column:  # noqa: B008
     """pdf, zip, ics or null, by the first bytes."""
     head = F.hex(F.substring(data, 1, 15))
@@ -56,7 +72,7 @@ def pdf(data: Column, config: Config = Config()) -> Column:  # noqa: B008
     read = pdfs(F.when(kind(data, config) == "pdf", data), config.pdf_pages)
     info = F.filter(read["info"], lambda x: _hit(x["text"]).isNotNull())
     good = joined(pdf_bytes(data, config), F.transform(info, lambda x: _signal("pdf_metadata_injection", 0.80, F.concat(x["key"], F.lit(": "), _hit(x["text"])))), some(F.when(_hit(read["text"]).isNotNull(), _signal("pdf_text_injection", 0.85, _hit(read["text"]), raw=read["text"]))))
-    return F.when(read["status"] == "ok", good).when(read.isNotNull(), some(_signal("pdf_parse_error", 0.35, F.lit("not a readable PDF"))))
+    return _judged(read, good, "pdf_parse_error", "not a readable PDF")
 
 
 def spreadsheet(data: Column, config: Config = Config()) -> Column:  # noqa: B008
@@ -80,7 +96,7 @@ def spreadsheet(data: Column, config: Config = Config()) -> Column:  # noqa: B00
         F.transform(calls, lambda n: _signal("excel_defined_name_formula", 0.70, n["text"], CONTROL)),
         F.transform(named, lambda n: _signal("excel_defined_name_injection", 0.70, n["text"])),
     )
-    return F.when(book["status"] == "ok", good).when(book.isNotNull(), some(_signal("excel_parse_error", 0.35, F.lit("not a readable workbook"))))
+    return _judged(book, good, "excel_parse_error", "not a readable workbook")
 
 
 def calendar(data: Column, config: Config = Config()) -> Column:  # noqa: B008
@@ -96,7 +112,7 @@ def calendar(data: Column, config: Config = Config()) -> Column:  # noqa: B008
         F.transform(custom, lambda p: _signal("ics_custom_property_injection", 0.65, F.concat(p["name"], F.lit(": "), _hit(p["text"])))),
         F.transform(of(("ATTACH",), hit), lambda p: _signal("ics_attach_url_injection", 0.75, p["text"])),
     )
-    return F.when(read["status"] == "ok", good).when(read.isNotNull(), some(_signal("ics_parse_error", 0.35, F.lit("not a readable calendar"))))
+    return _judged(read, good, "ics_parse_error", "not a readable calendar")
 
 
 def document_signals(data: Column, filename: Column, config: Config = Config()) -> Column:  # noqa: B008

@@ -43,19 +43,38 @@ def zero_width_count(html: Column) -> Column:
 def zero_width(html: Column) -> Column:
     """More than 5 zero-width characters: a keyword within 50 characters of the first, or else more than 50 of them."""
     any_of = f"[{patterns.ZERO_WIDTH}]"
-    count = zero_width_count(html)
-    first = F.length(F.element_at(F.split(html, any_of, 2), 1))
-    begin = F.greatest(F.lit(0), first - 50)
-    context = F.translate(F.substring(html, begin + 1, first + 50 - begin), patterns.ZERO_WIDTH, "")
-    judged = lambda hit: some(F.when(hit.isNotNull(), _signal("zero_width_char_injection", 0.70, hit)), F.when(hit.isNull() & (count > 50), _signal("zero_width_char_anomaly", 0.55, count)))
-    return F.when(count > 5, T.let(T.keyword(context), judged))
 
+    def of(t: Column) -> Column:
+        first = F.length(F.element_at(F.split(t, any_of, 2), 1))
+        begin = F.greatest(F.lit(0), first - 50)
+        context = F.translate(F.substring(t, begin + 1, first + 50 - begin), patterns.ZERO_WIDTH, "")
+        judged = lambda count: lambda hit: some(F.when(hit.isNotNull(), _signal("zero_width_char_injection", 0.70, hit)), F.when(hit.isNull() & (count > 50), _signal("zero_width_char_anomaly", 0.55, count)))
+        return T.let(zero_width_count(t), lambda count: F.when(count > 5, T.let(T.keyword(context), judged(count))))
 
-def preprocessed(html: Column, compatibility: bool = False) -> Column:
-    """Keywords in the whole document after normalising and after decoding."""
-    judged = lambda name: lambda hit: F.when(hit.isNotNull(), _signal(name, 0.75, hit, html))
-    plain, decoded = T.first_match(T.normalize(html, compatibility), patterns.KEYWORDS), T.keyword(T.decode_payloads(html))
-    return some(T.let(plain, judged("preprocessed_normalized_text_injection")), T.let(decoded, judged("preprocessed_decoded_text_injection")))
+    return F.when(html.rlike(any_of), T.let(html, of))
+
+
+def preprocessed(html: Column, compatibility: bool = False, low: Column | None = None) -> Column:
+    """Keywords in the whole document after normalising and after decoding.
+
+    What normalising leaves as it is, and a text that holds nothing to decode, have the hits of the plain text, which are
+    looked for once."""
+    judged = lambda hit, name: F.when(hit.isNotNull(), _signal(name, 0.75, hit, html))
+    normal = T.normalize(html, compatibility)
+    both = F.struct(T.unmask(html).alias("plain"), normal.alias("normal"), T.payloads(html).alias("held"))
+
+    def of(x: Column) -> Column:
+        masked = T.first_match(x["plain"], patterns.KEYWORDS)
+        plain = masked if low is None else F.when(html == x["plain"], T.first_match(x["plain"], patterns.KEYWORDS, low=low)).otherwise(masked)
+
+        def hits(hit: Column) -> Column:
+            composed = F.when(x["normal"] == x["plain"], hit).otherwise(T.first_match(x["normal"], patterns.KEYWORDS))
+            decoded = F.when(F.size(x["held"]) == 0, hit).otherwise(T.keyword(F.concat_ws("\n", html, x["held"])))
+            return some(judged(composed, "preprocessed_normalized_text_injection"), judged(decoded, "preprocessed_decoded_text_injection"))
+
+        return T.let(plain, hits)
+
+    return T.let(both, of)
 
 
 def hidden_css(page: Column) -> Column:
@@ -90,6 +109,20 @@ def scripts(page: Column) -> Column:
     return joined(_each(write, "js_document_write_injection", 0.65, 11), _each(inner, "js_innerhtml_injection", 0.65, 11), F.transform(made, lambda s: _signal("js_hidden_element_creation", 0.65, F.lit("hidden element"), s)))
 
 
+def _character(n: Column) -> Column:
+    """The character of any code point (Spark's chr() knows 256), spelt out as UTF-8; nothing for what is none."""
+    byte = lambda x: F.lpad(F.hex(x), 2, "0")
+    tail = lambda bits: byte(F.shiftright(n, bits).bitwiseAND(63) + 128)
+    code = (
+        F.when(n < 0x80, byte(n))
+        .when(n < 0x800, F.concat(byte(F.shiftright(n, 6) + 0xC0), tail(0)))
+        .when((n >= 0xD800) & (n < 0xE000), "")
+        .when(n < 0x10000, F.concat(byte(F.shiftright(n, 12) + 0xE0), tail(6), tail(0)))
+        .when(n < 0x110000, F.concat(byte(F.shiftright(n, 18) + 0xF0), tail(12), tail(6), tail(0)))
+    )
+    return F.coalesce(F.unhex(code).cast("string"), F.lit(""))
+
+
 def script_strings(page: Column) -> Column:
     """Strings put together by code: a keyword in what they resolve to or in themselves, or else merely suspicious."""
     long = F.filter(page["scripts"], lambda s: F.length(s) >= 20)
@@ -99,7 +132,7 @@ def script_strings(page: Column) -> Column:
 
     def judged(call: Column) -> Column:
         numbers = F.split(F.regexp_replace(F.regexp_extract(call, r"(?i)fromCharCode\s*\(([\d\s,]+)\)", 1), r"\s", ""), ",")
-        chars = F.array_join(F.transform(numbers, lambda n: F.when(n.cast("int") < 256, F.chr(n.cast("int"))).otherwise("")), "")
+        chars = F.array_join(F.transform(numbers, lambda n: _character(n.try_cast("int"))), "")
         held = F.regexp_extract(call, r"""(?i)atob\s*\(\s*['"]([0-9A-Za-z+/=]+)['"]""", 1)
         resolved = F.when(call.rlike("(?i)fromCharCode") & call.rlike(r"(?i)fromCharCode\s*\([\d\s,]+\)"), chars).when(held != "", F.make_valid_utf8(F.try_to_binary(held, F.lit("base64")).cast("string"))).otherwise(call)
         hit = F.coalesce(T.keyword(resolved), T.keyword(call))
@@ -141,9 +174,9 @@ def text_signals(html: Column, compatibility: bool = False) -> Column:
     return joined(comment_injection(html), zero_width(html), preprocessed(html, compatibility))
 
 
-def page_signals(html: Column, page: Column, compatibility: bool = False) -> Column:
-    """All signals of a page, in the detectors' order."""
-    return joined(comment_injection(html), hidden_css(page), aria_hidden(page), zero_width(html), meta(page), data_attributes(page), links(page), scripts(page), fragments(page), css_variables(page), script_strings(page), foreign_objects(page), preprocessed(html, compatibility))
+def page_signals(html: Column, page: Column, compatibility: bool = False, low: Column | None = None) -> Column:
+    """All signals of a page, in the detectors' order. low: the folded form of html, if it is there already."""
+    return joined(comment_injection(html), hidden_css(page), aria_hidden(page), zero_width(html), meta(page), data_attributes(page), links(page), scripts(page), fragments(page), css_variables(page), script_strings(page), foreign_objects(page), preprocessed(html, compatibility, low))
 
 
 def sanitize_text(html: Column) -> Column:

@@ -66,7 +66,7 @@ OUTBOUND = """SELECT p.page_id AS req_id, CASE p.page_id % 9
 MEMORY = """SELECT event_id AS seq, ts, concat('user', user_id % 50) AS key, concat(event_type, ' ', repeat('v', CAST(event_id % 23 AS INT))) AS value,
   CAST(event_id % 100 AS DOUBLE) / 100 AS trust, CAST(event_id % 7 AS INT) AS kind FROM events"""
 
-MESSAGES = """SELECT row_number() OVER (ORDER BY conv_id, turn, role, text) AS seq, conv_id AS chain_id, turn AS hop, role AS sender_id,
+MESSAGES = """SELECT conv_id * 10000 + row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS seq, conv_id AS chain_id, turn AS hop, role AS sender_id,
   CASE WHEN turn % 2 = 0 THEN 'assistant' ELSE 'user' END AS recipient_id, text AS content,
   CASE WHEN turn % 3 = 0 THEN NULL ELSE 'signed' END AS signature, conv_id % 2 = 0 AS verified FROM conversations"""
 

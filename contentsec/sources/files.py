@@ -9,11 +9,15 @@ from contentsec.config import Config
 
 
 def binary_files(spark: SparkSession, path: str, glob: str | None = None, config: Config = Config()) -> DataFrame:  # noqa: B008
-    """(filename, data, length) of documents or images; the size test is pushed to the file listing."""
+    """(filename, data, length, refused) of documents or images. Files over the length limit are listed with the reason
+    in refused; their data is null and never read, as the scan that lists them leaves the content out."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).filter(F.col("length") <= config.content_length).select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("content").alias("data"), "length")
+    name = F.element_at(F.split("path", "/"), -1).alias("filename")
+    read = reader.load(path).filter(F.col("length") <= config.content_length).select(name, F.col("content").alias("data"), "length", F.lit(None).cast("string").alias("refused"))
+    over = reader.load(path).filter(F.col("length") > config.content_length).select(name, F.lit(None).cast("binary").alias("data"), "length", F.lit(f"over {config.content_length} bytes").alias("refused"))
+    return read.unionByName(over)
 
 
 def images(spark: SparkSession, path: str, config: Config = Config()) -> DataFrame:  # noqa: B008

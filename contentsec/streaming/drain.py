@@ -19,8 +19,13 @@ def _own() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of this process only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own()).rstrip("/")
+    """The folder in spark.checkpoint.dir. Where that is unset, one of this process if its executors run in it too; on a
+    cluster an error."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _own()
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
