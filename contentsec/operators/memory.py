@@ -81,3 +81,8 @@ def context(memory: DataFrame) -> DataFrame:
 def provenance(memory: DataFrame) -> DataFrame:
     """(key, entry): each entry as JSON."""
     return memory.select("key", F.to_json(F.struct("value", "effective_trust", "trust_tier", "chain", "content_hash", "outcome")).alias("entry"))
+
+
+def quarantined(memory: DataFrame) -> DataFrame:
+    """The entries in quarantine, for a person to look at."""
+    return memory.filter("outcome = 'quarantined'").select("key", "seq", "value", "effective_trust", "trust_tier", "content_hash")

@@ -42,7 +42,7 @@ def scan_text(df: DataFrame, config: Config = Config(), text: str = "body", comp
     are refused whole: no signals, trust tier null, blocked, with a reason. Only texts with markup are parsed."""
     body, low = F.col("_body"), F.col("_low")
     long = F.length("_body") > config.content_length
-    rows = _prepared(df, text, config).withColumn("_body", F.when(long, "").otherwise(body)).withColumn("_long", long)
+    rows = _prepared(df, text, config).withColumn("_long", long).withColumn("_body", F.when(F.col("_long"), "").otherwise(body))
     rows = rows.withColumn("_page", H.parse(F.when(body.contains("<"), body)))
     model = F.col("model") if "model" in df.columns else None
     rows = rows.withColumn("signals", joined(injection.page_signals(body, F.col("_page"), compatibility, low), semantic.text_signals(body, low, model)))
@@ -71,7 +71,7 @@ def scan_pages(df: DataFrame, config: Config = Config(), html: str = "html", com
     over the length limit are refused like texts."""
     body = F.col("_body")
     long = F.length("_body") > config.content_length
-    rows = _prepared(df.filter(F.length("url") <= config.url_length), html, config).withColumn("_body", F.when(long, "").otherwise(body)).withColumn("_long", long)
+    rows = _prepared(df.filter(F.length("url") <= config.url_length), html, config).withColumn("_long", long).withColumn("_body", F.when(F.col("_long"), "").otherwise(body))
     rows = rows.withColumn("_page", H.parse(body))
     rows = rows.withColumn("signals", joined(injection.page_signals(body, F.col("_page"), compatibility, F.col("_low")), semantic.text_signals(F.col("_page.visible_text"))))
     asymmetry = F.when(F.col("asymmetry_detected"), F.col("asymmetry_score")) if "asymmetry_score" in df.columns else None

@@ -39,3 +39,16 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
         query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/rows")).outputMode(mode).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+
+
+def drain_split(stream: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of a stream for which `by` holds, and the others, each from a sink of its own. A batch that is written again
+    after a failure replaces what it wrote before."""
+    from contentsec.streaming.gates import split
+
+    spark = stream.sparkSession
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    sink = lambda name: lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{at}/{name}/epoch={epoch}")
+    stream.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(split(sink("good"), sink("bad"), by)).start().awaitTermination()
+    read = lambda name: spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{at}/{name}")
+    return read("good"), read("bad")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from contentsec.config import Config
-from contentsec.operators import actions, memory, messages
+from contentsec.operators import actions, exfiltration, memory, messages
 
 
 def verified(stream: DataFrame, now: Column, late: str = "10 minutes", config: Config = Config()) -> DataFrame:  # noqa: B008
@@ -25,13 +25,18 @@ def gated(stream: DataFrame, config: Config = Config()) -> DataFrame:  # noqa: B
     return actions.validate(stream, config)
 
 
-def split(allowed: Callable[[DataFrame, int], None], refused: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: allowed actions to one sink, refused ones to the other."""
+def outbound(stream: DataFrame, config: Config = Config()) -> DataFrame:  # noqa: B008
+    """Requests (url, body, maybe headers) with safe and violations; stateless, so it stands before any sink."""
+    return exfiltration.check(stream, config)
+
+
+def split(good: Callable[[DataFrame, int], None], bad: Callable[[DataFrame, int], None], by: str = "allowed") -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: rows for which `by` holds (allowed actions, safe requests) to one sink, the others to another."""
 
     def run(batch: DataFrame, epoch: int) -> None:
         batch.persist()
-        allowed(batch.filter("allowed"), epoch)
-        refused(batch.filter("not allowed"), epoch)
+        good(batch.filter(F.col(by)), epoch)
+        bad(batch.filter(~F.coalesce(F.col(by), F.lit(False))), epoch)
         batch.unpersist()
 
     return run
