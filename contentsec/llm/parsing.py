@@ -11,13 +11,16 @@ share of names in both of two texts, estimated from the smallest names of their
 
 Null text is empty and has an empty fingerprint; an empty text is like another empty one (1) and like no other (0).
 "The next document" is the next row by (doc_id, hash of the text), null ids last, and the first row after the last; so
-repeated rows follow one another, and a sole row follows itself. The edited text is empty only where the text is.
+repeated rows follow one another, and a sole row follows itself. The edited text is empty only where the text is. A
+common id, or many null ids, are split over several tasks by that hash; copies of one row are counted where they are
+read, and move as one row with a count.
 
 Texts are parsed whole; the memory for one is about 60 times its bytes.
 """
 
 from __future__ import annotations
 
+import collections
 import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -136,31 +139,57 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, fingerprint string")
 
 
+def _bounds(docs: DataFrame, buckets: int) -> list[tuple[bool, int, int]]:
+    """First keys (id is null, id, hash of the text) of the buckets but the first, from a quantile sketch of the ids alone.
+    An id that is several quantiles is split evenly by the hash, and so are null ids."""
+    asked = [k / buckets for k in range(1, buckets)] or [0.5]
+    r = docs.agg(F.percentile_approx("doc_id", asked, 10 * buckets), F.count("*"), F.count("doc_id"), F.min("doc_id")).first()
+    times = collections.Counter(r[0] or [])
+    nulls = r[1] - r[2]
+    keys = [(False, x, j * 2**63 // n) for x, n in times.items() for j in range(n)]
+    if nulls:
+        n = max(1, round(buckets * nulls / r[1]))
+        keys += [(True, 0, j * 2**63 // n) for j in range(n)]
+    return sorted(k for k in keys if k != (False, r[3], 0))
+
+
+def _keyed(part: pa.RecordBatch) -> Iterator[tuple[tuple[bool, int, int], int | None, bytes]]:
+    for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
+        yield (doc_id is None, doc_id or 0, xxhash.xxh3_64_intdigest(text) >> 1), doc_id, text
+
+
 def in_order(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, ahead, doc_id, tie, text binary): docs(doc_id, text) in buckets of neighbouring ids, sorted in each
-    partition; at the end of each bucket, marked as ahead, copies of the rows with the next bucket's first id.
+    """(bucket, ahead, doc_id, tie, m, text binary): docs(doc_id, text) in buckets of neighbouring keys, sorted in each
+    partition, m alike rows as one; at the end of each bucket, marked as ahead, a copy of the next bucket's first row.
+
+    The driver holds one key for each bucket. One shuffle moves compressed texts."""
+    bounds = _bounds(docs, buckets)
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, tuple[bool, int, int]] = {}
+        for part in blocks(batches, limit=BLOCK):
+            for key, _, _ in _keyed(part):
+                own = bisect_right(bounds, key)
+                found[own] = min(found.get(own, key), key)
+        yield pa.record_batch([pa.array(list(found), pa.int32()), *(pa.array([k[i] for k in found.values()], t) for i, t in enumerate((pa.bool_(), pa.int64(), pa.int64())))], ["bucket", "a", "b", "c"])
 
-    Buckets are bounded by ids that exist, from a quantile sketch of the ids alone. One shuffle moves compressed texts."""
-    sketch = docs.filter("doc_id is not null").agg(F.min("doc_id"), F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)] or [0.5], 10 * buckets)).first()
-    bounds = sorted({x for x in (sketch[1] or []) if x != sketch[0]})
-    least, last = sketch[0], len(bounds)
+    firsts = docs.mapInArrow(least, "bucket int, a boolean, b bigint, c bigint").groupBy("bucket").agg(F.min(F.struct("a", "b", "c")).alias("k")).orderBy("bucket").collect()
+    before = {tuple(r.k): firsts[i - 1].bucket for i, r in enumerate(firsts)}  # the bucket before, the last for the first
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for part in blocks(batches, limit=BLOCK):
+            alike = collections.Counter(_keyed(part))
             rows: list[tuple] = []
-            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                row = (doc_id, xxhash.xxh3_64_intdigest(text) >> 1, press.compress(text))
-                own = last if doc_id is None else bisect_right(bounds, doc_id)
-                rows.append((own, False, *row))
-                if own and doc_id is not None and doc_id == bounds[own - 1]:
-                    rows.append((own - 1, True, *row))
-                if doc_id == least:
-                    rows.append((last, True, *row))
+            for (key, doc_id, text), m in alike.items():
+                packed = press.compress(text)
+                rows.append((bisect_right(bounds, key), False, doc_id, key[2], m, packed))
+                if key in before:
+                    rows.append((before[key], True, doc_id, key[2], 1, packed))
             cols = list(zip(*rows, strict=True))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "ahead", "doc_id", "tie", "text"])
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "ahead", "doc_id", "tie", "m", "text"])
 
-    placed = docs.mapInArrow(run, "bucket int, ahead boolean, doc_id bigint, tie bigint, text binary")
+    placed = docs.mapInArrow(run, "bucket int, ahead boolean, doc_id bigint, tie bigint, m bigint, text binary")
     return placed.repartition("bucket").sortWithinPartitions("bucket", "ahead", F.col("doc_id").asc_nulls_last(), "tie")
 
 
@@ -176,30 +205,43 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press, held = zstandard.ZstdDecompressor(), []
 
-        def solve(rows: list[tuple]) -> pa.RecordBatch:
+        def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             """Of all rows but the last, which is only looked at."""
             real = [i for i in range(len(rows) - 1) if not rows[i][1]]
-            new = [edited(rows[i][3], rows[i + 1][3]).encode() for i in real]
+            # a row and the one behind it; of m alike rows all but one are followed by themselves
+            pairs = [(i, j, n) for i in real for j, n in ((i, rows[i][4] - 1), (i + 1, 1)) if n]
             own = fingerprints([r[3].encode() for r in rows])
-            changed = fingerprints(new)
-            out = [(rows[i][2], len(rows[i][3]), hashlib.sha256(e).hexdigest(), own[i], f, likeness(own[i], f), likeness(own[i], own[i + 1])) for i, e, f in zip(real, new, changed, strict=True)]
-            cols = list(zip(*out, strict=True)) or [()] * 7
+            for at in range(0, len(pairs), 4096):
+                some = pairs[at : at + 4096]
+                new = [edited(rows[i][3], rows[j][3]).encode() for i, j, _ in some]
+                for (i, j, n), e, f in zip(some, new, fingerprints(new), strict=True):
+                    row = (rows[i][2], len(rows[i][3]), hashlib.sha256(e).hexdigest(), own[i], f, likeness(own[i], f), likeness(own[i], own[j]))
+                    for k in range(0, n, 10_000):
+                        out.extend([row] * min(10_000, n - k))
+                        if len(out) >= 10_000:
+                            yield batch_of(out)
+                            out.clear()
+            if out:
+                yield batch_of(out)
+                out.clear()
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-        size = 0
+        size, out = 0, []
         for batch in batches:
-            for bucket, ahead, doc_id, text in zip(*(batch.column(c) for c in ("bucket", "ahead", "doc_id", "text")), strict=True):
+            for bucket, ahead, doc_id, m, text in zip(*(batch.column(c) for c in ("bucket", "ahead", "doc_id", "m", "text")), strict=True):
                 if ahead.as_py() and held and held[-1][1] and held[-1][0] == bucket.as_py():
                     continue
-                held.append((bucket.as_py(), ahead.as_py(), doc_id.as_py(), press.decompress(text.as_py()).decode()))
+                held.append((bucket.as_py(), ahead.as_py(), doc_id.as_py(), press.decompress(text.as_py()).decode(), m.as_py()))
                 size += len(held[-1][3])
                 if size >= BLOCK:
-                    yield solve(held)
+                    yield from solve(held)
                     held, size = held[-1:], len(held[-1][3])
         if held:
-            yield solve([*held, held[0]])  # the last is a copy of a row ahead, or a row of null ids only
+            yield from solve([*held, held[-1]])  # each bucket ends with a row ahead, so nothing is behind the last
 
     docs = id_and_text(docs, id_col, text_col)
     buckets = buckets or min(20_000, BUCKETS * max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.select("doc_id").rdd.getNumPartitions()))
-    return in_order(docs, buckets).select("bucket", "ahead", "doc_id", "text").mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return in_order(docs, buckets).select("bucket", "ahead", "doc_id", "m", "text").mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import html as entities
+import itertools
 import math
 import random
 import re
@@ -11,12 +12,13 @@ from xml.etree import ElementTree
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import public_tokenizers
 
 import corpus_pipeline
-from contentsec.llm import byte_bpe, chunk_dedup, common, html_extract, language_id, license_scan, quality, sampling, suffix_dedup
+from contentsec.llm import byte_bpe, chunk_dedup, common, html_extract, language_id, license_scan, parsing, quality, sampling, suffix_dedup
 from contentsec.llm.queries import removal_digests
 
 random.seed(11)
@@ -428,3 +430,90 @@ def test_exact_copies_go_by_row(spark, monkeypatch, sent):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("text_sha256", F.lit("clash")).withColumn("kept", F.lit(0))
     got = sorted(((r.doc_id, r.text) for r in chunk_dedup.keep_one(docs).collect()), key=repr)
     assert got == sorted([(5, "a TEXT"), (5, "another"), (None, "x"), (None, "X"), (8, ""), (2, "é"), (2, "É")], key=repr)
+
+
+# 1
+
+
+def brute_fingerprint(text):
+    """Phrases symbol by symbol: runs, three rounds of coin tossing, local maxima, names of phrases; three levels."""
+    full, symbols, found = 2**64 - 1, [int(parsing._BYTE[b]) for b in text], []
+    mixed = lambda x: int(common.mix64(np.array([x], np.uint64))[0])
+
+    def toss(before, x):
+        low = (before ^ x) & -(before ^ x)
+        bit = max(low, 1).bit_length() - 1
+        return 2 * bit + (x >> bit & 1)
+
+    for level in range(1, max(parsing.LEVELS) + 1):
+        runs = [(x, len(list(same))) for x, same in itertools.groupby(symbols)]
+        symbols = [(x + (n - 1) * 0x9E3779B97F4A7C15) & full for x, n in runs]
+        labels = [toss(symbols[i - 1] if i else symbols[0] ^ 1, x) for i, x in enumerate(symbols)]
+        for _ in range(parsing.ROUNDS - 1):
+            labels = [toss(labels[i - 1] if i else labels[0] ^ 1, x) for i, x in enumerate(labels)]
+        heads = [i == 0 or (i < len(labels) - 1 and labels[i - 1] < labels[i] >= labels[i + 1]) for i in range(len(labels))]
+        names, place = [], 0
+        for x, head in zip(symbols, heads, strict=True):
+            if head:
+                names.append(0)
+                place = 0
+            names[-1] = (names[-1] + x * int(parsing._POWER[place & 63])) & full
+            place += 1
+        symbols = [mixed(x) for x in names]
+        if level in parsing.LEVELS:
+            found.append("".join(f"{x:08x}" for x in sorted({s >> 32 for s in symbols})[: parsing.SKETCH]))
+    return ".".join(found) if text else ""
+
+
+def test_fingerprints_by_brute_force():
+    r = random.Random(8)
+    texts = [b"", b"a", b"aa", b"aaaa", b"ab" * 50, bytes(r.choice(b"abc") for _ in range(300)), "Straße é 的 ".encode() * 9, bytes(r.choice(b"abcdefgh \n") for _ in range(4000))]
+    assert parsing.fingerprints(texts) == [brute_fingerprint(t) for t in texts]
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    both = either = 0
+    for x, y in zip(a.split("."), b.split("."), strict=True):
+        p, q = ([s[i : i + 8] for i in range(0, len(s), 8)] for s in (x, y))
+        least = sorted(set(p) | set(q))[: parsing.SKETCH]
+        both, either = both + sum(n in p and n in q for n in least), either + len(least)
+    return both / either
+
+
+def brute_compared(rows):
+    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, xxhash.xxh3_64_intdigest(r[1] or "") >> 1))
+    out = collections.Counter()
+    for (i, t), (_, n) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        t, n = t or "", n or ""
+        k = len(t) // 4
+        new = t[: len(t) - k] + n[:k]
+        own, changed, other = (brute_fingerprint(x.encode()) for x in (t, new, n))
+        out[i, len(t), hashlib.sha256(new.encode()).hexdigest(), own, changed, brute_likeness(own, changed), brute_likeness(own, other)] += 1
+    return out
+
+
+@pytest.mark.parametrize("ids", ["null", "one", "hot", "copies"])
+@pytest.mark.parametrize("buckets", [1, 7, 40])
+def test_neighbours_of_common_ids(spark, ids, buckets, monkeypatch):
+    r = random.Random(3)
+    text = lambda: " ".join(r.choice(["stone", "river", "glass", "é"]) for _ in range(r.randint(0, 12)))
+    rows = {
+        "null": [(None, text()) for _ in range(60)],
+        "one": [(5, text()) for _ in range(60)],
+        "hot": [(r.choice([1, 2, 3, 3, 3, 3, None]), text()) for _ in range(90)],
+        "copies": [(7, "one and the same")] * 200 + [(i, text()) for i in range(9)] + [(None, None)] * 50,
+    }[ids]
+    monkeypatch.setattr(parsing, "BLOCK", 300)
+    got = parsing.compared(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), buckets=buckets).collect()
+    assert collections.Counter(map(tuple, got)) == brute_compared(rows)
+
+
+def test_a_common_id_is_split(spark):
+    rows = [(5, f"text {i}") for i in range(3000)] + [(i, "x") for i in range(100)] + [(None, f"y {i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sizes = [r["count"] for r in parsing.in_order(docs, 40).filter("not ahead").groupBy("bucket").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < len(rows) / 10
