@@ -38,11 +38,11 @@ from pyspark.sql import functions as F
 from contentsec.llm.common import blocks, flat, id_and_text
 
 #: Text bytes of a block; words that are put together, and bytes that are decoded, at once.
-BLOCK, PART = 8 << 20, 1 << 20
+BLOCK, PART = 8 << 20, 1 << 18
 #: Characters from which a text is cut into runs, and pre-tokens of a run.
 LONG_TEXT, RUN = 1 << 20, 1 << 16
 #: Words of a slice that are replayed together, and encoded words that a task keeps for its later blocks.
-SLICE = 1 << 18
+SLICE = 1 << 16
 _NONE = 1 << 40
 
 
@@ -272,7 +272,8 @@ def _cut(path: str, pattern: str, slices: int):
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, slice, words) for each slice of which a block has words."""
     for batch in batches:
-        for block, words in zip(batch.column("block").to_pylist(), batch.column("words").to_pylist(), strict=True):
+        for block, words in zip(batch.column("block"), batch.column("words"), strict=True):
+            block, words = block.as_py(), words.as_py()
             full = [k for k, own in enumerate(words) if own is not None]
             yield pa.record_batch([pa.array([block] * len(full), pa.int64()), pa.array(full, pa.int32()), pa.array([words[k] for k in full], pa.binary())], ["block", "slice", "words"])
 
@@ -323,7 +324,8 @@ def _coded(path: str, pattern: str, decoded: bool):
         of = encoder(path, pattern)
         spelt = pa.array(of.vocabulary, pa.binary())
         for batch in batches:
-            for block, texts, words, codes in zip(*(batch.column(c).to_pylist() for c in ("block", "texts", "words", "codes")), strict=True):
+            for row in zip(*(batch.column(c) for c in ("block", "texts", "words", "codes")), strict=True):
+                block, texts, words, codes = (x.as_py() for x in row)  # one block at a time, of the many that a batch may hold
                 ids, sizes, slots, *planes = _unpacked(texts, 7)
                 doc_ids = pa.ipc.open_stream(ids).read_all().column("doc_id").combine_chunks()
                 slots = np.frombuffer(slots, "<i8")
@@ -365,7 +367,8 @@ _CODED = "doc_id bigint, n_tokens bigint, ids binary"
 def _encoded(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, decoded: bool) -> DataFrame:
     docs = id_and_text(docs, id_col, text_col)
     slices = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = docs.mapInArrow(_cut(path, pattern, slices), "block bigint, texts binary, words array<binary>").repartition("block")  # both uses read all its columns, so Spark runs it once
+    cut = docs.mapInArrow(_cut(path, pattern, slices), "block bigint, texts binary, words array<binary>")
+    cut = cut.repartition(slices, "block")  # few blocks a task; both uses read all its columns, so Spark runs it once
     asked = cut.mapInArrow(_asked, "block bigint, slice int, words binary").repartitionById(slices, F.col("slice"))
     answers = asked.mapInArrow(_answered(path, pattern), "block bigint, slice int, codes binary")
     codes = answers.groupBy(F.col("block").alias("of")).agg(F.collect_list(F.struct("slice", "codes")).alias("codes"))  # of a block's distinct words
