@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 
 from contentsec.config import Config
 from contentsec.functions import html as H
+from contentsec.functions.batches import in_parts
+
+
+#: What is compared of two pages.
+_COMPARED = ("visible_text", "tag_counts", "meta_signatures", "canonical", "og")
 
 
 @functools.cache
@@ -22,8 +27,7 @@ def _ratio() -> Callable[[Column, Column], Column]:
     def run(pair: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         from difflib import SequenceMatcher
 
-        for left, right in pair:
-            yield pa.array([None if a is None else SequenceMatcher(None, a, b).ratio() for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.float64())
+        yield from in_parts(pair, lambda left, right: [None if a is None else SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)], pa.float64())
 
     return run
 
@@ -50,7 +54,7 @@ def _size(delta: Column) -> Column:
 
 def compare(fetches: DataFrame, config: Config = Config()) -> DataFrame:  # noqa: B008
     """One row for each url with a human fetch: the worst bot's differences, and whether they show asymmetry."""
-    parsed = fetches.select("url", "ua", "is_human", "status", "content_length", "body", H.parse(F.col("body")).alias("p"))
+    parsed = fetches.select("url", "ua", "is_human", "status", "content_length", "body", H.parse(F.col("body"), *_COMPARED).alias("p"))
     page = lambda is_human, alias: parsed.filter(F.col("is_human") == is_human).select("url", *(["ua"] if not is_human else []), F.struct("status", "content_length", "body", "p").alias(alias))
     pairs = page(True, "h").join(page(False, "b"), "url", "left")
     some_bot = F.col("b").isNotNull()
