@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from contentsec.functions import html as H
 from contentsec.functions.batches import BYTES, VALUES
+from contentsec.operators.signals import long_table
 
 
 def test_pages_are_parsed_in_parts(spark):
@@ -30,3 +31,11 @@ def test_only_named_fields_of_a_page(spark):
     assert rows.schema["p"].dataType.fieldNames() == ["images", "visible_text"]
     assert [(r.p.images, r.p.visible_text) for r in rows.collect()] == [(["a.png"], "t"), ([], "")]
     assert rows.select("p.images").columns == ["images"]
+
+
+def test_signals_are_worked_out_once_for_a_long_table(spark):
+    rows = spark.createDataFrame([(1, "a b"), (2, ""), (3, None)], "content_id int, x string").withColumn("signals", F.transform(F.split(F.regexp_replace("x", "zz", ""), " "), lambda v: F.struct(v.alias("signal_name"))))
+    rows = rows.withColumn("signals", F.filter("signals", lambda s: s["signal_name"] != ""))
+    table = long_table(rows)
+    assert sorted(tuple(r) for r in table.collect()) == [(1, 0, "a"), (1, 1, "b")]
+    assert table._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
