@@ -25,9 +25,9 @@ _COMPARED = ("visible_text", "tag_counts", "meta_signatures", "canonical", "og")
 def _ratio() -> Callable[[Column, Column], Column]:
     @F.arrow_udf("double")
     def run(pair: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        from difflib import SequenceMatcher
+        from contentsec.functions.likeness import ratio
 
-        yield from in_parts(pair, lambda left, right: [None if a is None else SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)], pa.float64())
+        yield from in_parts(pair, lambda left, right: [None if a is None else ratio(a, b) for a, b in zip(left, right, strict=True)], pa.float64())
 
     return run
 
@@ -39,8 +39,18 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(_ratio()(F.when(differ, a), F.when(differ, b)))
 
 
+#: White space as (?U)\s has it, spaces left out. Single characters, and few classes in one, cost Java's matcher least.
+_ODD = r"\t\n\x0B\f\r\x{85}\x{A0}[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]]"
+
+
 def content_hash(visible: Column) -> Column:
-    return F.sha2(F.lower(F.regexp_replace(F.regexp_replace(visible, r"(?U)\s+", " "), "^ | $", "")), 256)
+    """Of the lower case with each run of white space as one space, none at the ends; single spaces are left alone."""
+    return F.sha2(F.lower(F.trim(F.regexp_replace(visible, f"[{_ODD}][ {_ODD}]*| [ {_ODD}]+", " "))), 256)
+
+
+def _same_content(a: Column, b: Column) -> Column:
+    """Whether the hashes are the same; they are worked out for texts that differ."""
+    return F.when(a == b, True).otherwise(content_hash(a) == content_hash(b))
 
 
 def tag_delta(human: Column, bot: Column) -> Column:
@@ -69,7 +79,7 @@ def compare(fetches: DataFrame, config: Config = Config()) -> DataFrame:  # noqa
         F.coalesce(F.col("h.status") != F.col("b.status"), F.lit(False)).alias("status"),
         F.coalesce(F.col("h.content_length") != F.col("b.content_length"), F.lit(False)).alias("length"),
         (canonical | og).alias("canonical"),
-        (some_bot & (content_hash(F.col("h.p.visible_text")) != content_hash(F.col("b.p.visible_text")))).alias("hash"),
+        (some_bot & ~_same_content(F.col("h.p.visible_text"), F.col("b.p.visible_text"))).alias("hash"),
         F.when(some_bot, tag_delta(F.col("h.p.tag_counts"), F.col("b.p.tag_counts"))).alias("delta"),
         F.coalesce(metas, F.array().cast("array<string>")).alias("metas"),
     )
@@ -90,5 +100,6 @@ def compare(fetches: DataFrame, config: Config = Config()) -> DataFrame:  # noqa
 
 def against_archive(pages: DataFrame, archive: DataFrame) -> DataFrame:
     """(url, matches) of pages(url, visible_text) against archive(url, visible_text)."""
-    both = pages.join(archive.select("url", F.col("visible_text").alias("old")), "url")
-    return both.select("url", ((similarity(F.col("visible_text"), F.col("old")) > 0.9) & (content_hash(F.col("visible_text")) == content_hash(F.col("old")))).alias("matches"))
+    both = pages.join(archive.select("url", F.col("visible_text").alias("old")), "url").withColumn("same", _same_content(F.col("visible_text"), F.col("old")))
+    text = lambda c: F.when(F.coalesce("same", F.lit(True)), F.col(c))  # noqa: E731  of others it doesn't matter how like they are
+    return both.select("url", ((similarity(text("visible_text"), text("old")) > 0.9) & F.col("same")).alias("matches"))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import random
+import time
+from difflib import SequenceMatcher
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from contentsec.functions import html as H
 from contentsec.functions.batches import BYTES, VALUES
+from contentsec.functions.likeness import ratio
+from contentsec.operators import asymmetry
 from contentsec.operators.signals import long_table
 
 
@@ -39,3 +45,41 @@ def test_signals_are_worked_out_once_for_a_long_table(spark):
     table = long_table(rows)
     assert sorted(tuple(r) for r in table.collect()) == [(1, 0, "a"), (1, 1, "b")]
     assert table._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+
+
+def test_likeness_is_that_of_difflib():
+    some = random.Random(7)
+    for _ in range(400):
+        letters = [chr(some.choice([32, 97, 0x4E00]) + i) for i in range(some.choice([2, 20, 90]))]
+        text = lambda n: "".join(some.choices(letters, [some.random() ** 3 for _ in letters], k=n))  # noqa: E731, B023
+        a = b = text(some.choice([0, 1, 50, 199, 260, 600]))
+        for _ in range(some.choice([0, 1, 6])):
+            at, stop = sorted(some.randrange(len(b) + 1) for _ in range(2))
+            b = some.choice([b[:at] + b[stop:], b[:at] + text(9) + b[at:], b + b[at:stop]])
+        for x, y in ((a, b), (b, a), (a, text(250))):
+            assert ratio(x, y) == SequenceMatcher(None, x, y).ratio()
+
+
+def test_content_hash_takes_runs_of_any_white_space_for_one_space(spark):
+    white = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and (chr(c).isspace() and c not in range(0x1C, 0x20))]
+    texts = [f"{a}x{a}{b}Y{a}" for a in white for b in (" ", "", a, " \t ")] + ["", " ", "  ", "a\x1cb", "a\u200bb", "a\u180eb", "\t", " a  b "]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    before = F.sha2(F.lower(F.regexp_replace(F.regexp_replace("t", r"(?U)\s+", " "), "^ | $", "")), 256)
+    assert rows.filter(asymmetry.content_hash(F.col("t")) != before).collect() == []
+
+
+def test_pages_of_both_sides_are_parsed_once(spark, data):
+    import __spark_entry__
+
+    rows = __spark_entry__.queries()["archive_compare"](spark, data)
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan.split("Initial Plan")[0]
+
+
+def test_likeness_of_long_texts_takes_no_square_of_their_length():
+    some = random.Random(1)
+    a = "".join(some.choices([chr(0x4E00 + i) for i in range(95)], [2.0] * 15 + [0.875] * 80, k=200_000))
+    began = time.monotonic()
+    assert ratio(a, a[:1000] + "zz" + a[1000:]) > 0.99999
+    assert time.monotonic() - began < 5
