@@ -6,6 +6,8 @@ struct that functions.html.parse() makes, once for each page.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,8 +37,14 @@ def comment_injection(html: Column) -> Column:
     return F.when(html.contains("<!--"), _each(comments(html), "html_comment_injection", 0.90, 10))
 
 
+def _any_zero_width(html: Column) -> Column:
+    """Whether it holds one, by plain searches, which cost less than a pattern, and only where there can be one."""
+    held = [html.contains(c) for c in patterns.ZERO_WIDTH]
+    return T.foreign(html) & functools.reduce(lambda a, b: a | b, held)
+
+
 def zero_width_count(html: Column) -> Column:
-    held = F.when(html.rlike(f"[{patterns.ZERO_WIDTH}]"), F.length(html) - F.length(F.translate(html, patterns.ZERO_WIDTH, "")))
+    held = F.when(_any_zero_width(html), F.length(html) - F.length(F.translate(html, patterns.ZERO_WIDTH, "")))
     return F.when(html.isNotNull(), F.coalesce(held, F.lit(0)))
 
 
@@ -51,7 +59,7 @@ def zero_width(html: Column) -> Column:
         judged = lambda count: lambda hit: some(F.when(hit.isNotNull(), _signal("zero_width_char_injection", 0.70, hit)), F.when(hit.isNull() & (count > 50), _signal("zero_width_char_anomaly", 0.55, count)))
         return T.let(zero_width_count(t), lambda count: F.when(count > 5, T.let(T.keyword(context), judged(count))))
 
-    return F.when(html.rlike(any_of), T.let(html, of))
+    return F.when(_any_zero_width(html), T.let(html, of))
 
 
 def preprocessed(html: Column, compatibility: bool = False, low: Column | None = None) -> Column:
