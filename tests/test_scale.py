@@ -14,6 +14,7 @@ from contentsec.functions.batches import BYTES, VALUES
 from contentsec.functions.likeness import ratio
 from contentsec.operators import asymmetry
 from contentsec.operators.signals import long_table
+from contentsec.plans import fixtures
 
 
 def test_pages_are_parsed_in_parts(spark):
@@ -32,6 +33,19 @@ def test_long_pages_make_parts_of_their_own(spark):
     assert [v and v["visible_text"] for part in out for v in part.to_pylist()] == pages
 
 
+def test_files_are_made_in_parts():
+    class Texts:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            n = VALUES * 2 + 1
+            return list(run(iter([pa.record_batch([pa.array(range(n)), pa.array(["a"] * n)], ["content_id", "body"]), pa.record_batch([pa.array([n, n + 1]), pa.array(["b" * BYTES, "c"])], ["content_id", "body"])])))
+
+    out = fixtures.files(Texts())
+    assert [len(part) for part in out] == [VALUES, VALUES, 1, 1, 1]
+    rows = [r for part in out for r in part.to_pylist()]
+    assert [r["content_id"] for r in rows] == list(range(VALUES * 2 + 3))
+    assert rows[2] == {"content_id": 2, "filename": "f2.ics", "data": fixtures.calendar("a")}
+
+
 def test_only_named_fields_of_a_page(spark):
     rows = spark.createDataFrame([('<a class="x"><img src="a.png">t',), (None,)], "x string").select(H.parse(F.col("x"), "images", "visible_text").alias("p"))
     assert rows.schema["p"].dataType.fieldNames() == ["images", "visible_text"]
