@@ -97,3 +97,13 @@ def test_likeness_of_long_texts_takes_no_square_of_their_length():
     began = time.monotonic()
     assert ratio(a, a[:1000] + "zz" + a[1000:]) > 0.99999
     assert time.monotonic() - began < 5
+
+
+def test_requests_are_judged_once(spark):
+    from contentsec.config import Config
+    from contentsec.operators import exfiltration
+
+    rows = spark.createDataFrame([("http://a.example.xyz/x", "mail bob@example.com"), ("https://api.trusted.com/x", "hello"), (None, None)], "url string, body string")
+    found = exfiltration.check(rows, Config(allowed_domains=("api.trusted.com",)))
+    assert [(r.safe, r.codes) for r in found.collect()][:2] == [(False, ["domain", "personal"]), (True, [])]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("as DNS tunnels have") == 3
