@@ -22,21 +22,30 @@ _COMPARED = ("visible_text", "tag_counts", "meta_signatures", "canonical", "og")
 
 
 @functools.cache
-def _ratio() -> Callable[[Column, Column], Column]:
+def _ratio() -> Callable[..., Column]:
     @F.arrow_udf("double")
-    def run(pair: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def run(texts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         from contentsec.functions.likeness import ratio
 
-        yield from in_parts(pair, lambda left, right: [None if a is None else ratio(a, b) for a, b in zip(left, right, strict=True)], pa.float64())
+        def least(*sides: list) -> list:
+            rows = zip(*(zip(a, b, strict=True) for a, b in zip(sides[::2], sides[1::2], strict=True)), strict=True)
+            return [min((ratio(a, b) for a, b in pairs if a is not None), default=None) for pairs in rows]
+
+        yield from in_parts(texts, least, pa.float64())
 
     return run
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """How much of two texts is in common, in order; only texts that differ reach the Arrow step."""
-    a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
-    differ = (a != b) & (a != "") & (b != "")
-    return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(_ratio()(F.when(differ, a), F.when(differ, b)))
+def similarity(a: Column, b: Column, *more: Column) -> Column:
+    """How much of two texts is in common, in order; of further pairs of texts too, the least. All pairs share one Arrow
+    step, so a task has one Python worker for them, which only texts that differ reach."""
+    sides, known = [], []
+    for x, y in zip((a, *more[::2]), (b, *more[1::2]), strict=True):
+        x, y = F.coalesce(x, F.lit("")), F.coalesce(y, F.lit(""))
+        differ = (x != y) & (x != "") & (y != "")
+        known.append(F.when(x == y, 1.0).when((x == "") | (y == ""), 0.0))
+        sides += [F.when(differ, x), F.when(differ, y)]
+    return F.least(*known, _ratio()(*sides))
 
 
 #: White space as (?U)\s has it, spaces left out. Single characters, and few classes in one, cost Java's matcher least.
@@ -68,7 +77,7 @@ def compare(fetches: DataFrame, config: Config = Config()) -> DataFrame:  # noqa
     page = lambda is_human, alias: parsed.filter(F.col("is_human") == is_human).select("url", *(["ua"] if not is_human else []), F.struct("status", "content_length", "body", "p").alias(alias))
     pairs = page(True, "h").join(page(False, "b"), "url", "left")
     some_bot = F.col("b").isNotNull()
-    difference = F.when(some_bot, F.greatest(1 - similarity(F.col("h.p.visible_text"), F.col("b.p.visible_text")), 1 - similarity(F.col("h.body"), F.col("b.body")))).otherwise(0.0)
+    difference = F.when(some_bot, 1 - similarity(F.col("h.p.visible_text"), F.col("b.p.visible_text"), F.col("h.body"), F.col("b.body"))).otherwise(0.0)
     metas = F.array_sort(F.concat(F.array_except("b.p.meta_signatures", "h.p.meta_signatures"), F.array_except("h.p.meta_signatures", "b.p.meta_signatures")))
     canonical = F.coalesce((F.col("h.p.canonical") != F.col("b.p.canonical")) & (F.col("h.p.canonical") != "") & (F.col("b.p.canonical") != ""), F.lit(False))
     og = F.coalesce(F.exists(F.map_values(F.map_zip_with("h.p.og", "b.p.og", lambda _, x, y: F.coalesce(x != y, F.lit(False)))), lambda d: d), F.lit(False))

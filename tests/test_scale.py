@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from contentsec.functions import html as H
-from contentsec.functions.batches import BYTES, VALUES
+from contentsec.functions.batches import BYTES, VALUES, in_parts
 from contentsec.functions.likeness import ratio
 from contentsec.operators import asymmetry
 from contentsec.operators.signals import long_table
@@ -46,6 +46,27 @@ def test_files_are_made_in_parts():
     assert rows[2] == {"content_id": 2, "filename": "f2.ics", "data": fixtures.calendar("a")}
 
 
+def test_parts_are_cut_by_the_bytes_of_all_columns():
+    left, right = pa.array(["a"] * 8 + [None]), pa.array(["b" * (BYTES // 2)] * 8 + ["c"])
+    out = list(in_parts(iter([(left, right), (left[:0], right[:0])]), lambda a, b: [len(a)] * len(b), pa.int64()))
+    assert [len(part) for part in out] == [1] * 7 + [2, 0]
+
+
+def test_pairs_of_texts_share_one_python_step(spark, data):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["asymmetry_flags"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 4  # three parse the pages
+
+
+def test_likeness_of_more_pairs_is_the_least(spark):
+    some = ["", None, "abcd", "abce", "xyz" * 100, "xyz" * 90 + "a"]
+    rows = [(a, b, c, d) for a in some for b in some for c in some for d in some]
+    frame = spark.createDataFrame(rows, "a string, b string, c string, d string").select(asymmetry.similarity(*map(F.col, "abcd")).alias("s"))
+    like = lambda x, y: SequenceMatcher(None, x or "", y or "").ratio()
+    assert [r.s for r in frame.collect()] == [min(like(a, b), like(c, d)) for a, b, c, d in rows]
+
+
 def test_only_named_fields_of_a_page(spark):
     rows = spark.createDataFrame([('<a class="x"><img src="a.png">t',), (None,)], "x string").select(H.parse(F.col("x"), "images", "visible_text").alias("p"))
     assert rows.schema["p"].dataType.fieldNames() == ["images", "visible_text"]
