@@ -54,13 +54,14 @@ def zero_width(html: Column) -> Column:
     return F.when(html.rlike(any_of), T.let(html, of))
 
 
-def preprocessed(html: Column, compatibility: bool = False, low: Column | None = None) -> Column:
-    """Keywords in the whole document after normalising and after decoding.
+def preprocessed(html: Column, compatibility: bool = False, low: Column | None = None, composed: Column | None = None) -> Column:
+    """Keywords in the whole document after normalising and after decoding. composed: the normalised document, if it is
+    there already, null where it is html.
 
     What normalising leaves as it is, and a text that holds nothing to decode, have the hits of the plain text, which are
     looked for once."""
     judged = lambda hit, name: F.when(hit.isNotNull(), _signal(name, 0.75, hit, html))
-    normal = T.normalize(html, compatibility)
+    normal = T.normalize(html, compatibility) if composed is None else F.coalesce(composed, html)
     both = F.struct(T.unmask(html).alias("plain"), normal.alias("normal"), T.payloads(html).alias("held"))
 
     def of(x: Column) -> Column:
@@ -174,9 +175,10 @@ def text_signals(html: Column, compatibility: bool = False) -> Column:
     return joined(comment_injection(html), zero_width(html), preprocessed(html, compatibility))
 
 
-def page_signals(html: Column, page: Column, compatibility: bool = False, low: Column | None = None) -> Column:
-    """All signals of a page, in the detectors' order. low: the folded form of html, if it is there already."""
-    return joined(comment_injection(html), hidden_css(page), aria_hidden(page), zero_width(html), meta(page), data_attributes(page), links(page), scripts(page), fragments(page), css_variables(page), script_strings(page), foreign_objects(page), preprocessed(html, compatibility, low))
+def page_signals(html: Column, page: Column, compatibility: bool = False, low: Column | None = None, composed: Column | None = None) -> Column:
+    """All signals of a page, in the detectors' order. low and composed: the folded and the normalised form of html, if
+    they are there already."""
+    return joined(comment_injection(html), hidden_css(page), aria_hidden(page), zero_width(html), meta(page), data_attributes(page), links(page), scripts(page), fragments(page), css_variables(page), script_strings(page), foreign_objects(page), preprocessed(html, compatibility, low, composed))
 
 
 def sanitize_text(html: Column) -> Column:

@@ -9,7 +9,9 @@ from difflib import SequenceMatcher
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from contentsec import patterns
 from contentsec.functions import html as H
+from contentsec.functions import text as T
 from contentsec.functions.batches import BYTES, VALUES, in_parts
 from contentsec.functions.likeness import ratio
 from contentsec.operators import asymmetry
@@ -59,6 +61,20 @@ def test_pairs_of_texts_share_one_python_step(spark, data):
     assert plan.count("ArrowEvalPython") == 4  # three parse the pages
 
 
+def test_a_scan_of_pages_has_one_python_step(spark, data):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["page_reports"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_composed_pages_are_normalized_texts(spark):
+    pages = ["", "<p>a</p>", None, "<p>ｉｇｎｏｒｅ ﬁ</p>", "".join(patterns.LOOKALIKES), "<i>А\u0301 e\u0301 𝐛 \u200b</i>", *(chr(c) * 2 for c in range(0x80, 0x3000))]
+    rows = spark.createDataFrame([(p,) for p in pages], "x string").select("x", H.parse_composed(F.col("x")).alias("p"), T.normalize(F.col("x")).alias("n"))
+    for r in rows.select("x", "p.composed", "n").collect():
+        assert r.composed == (None if (r.x or "").isascii() else r.n)
+
+
 def test_likeness_of_more_pairs_is_the_least(spark):
     some = ["", None, "abcd", "abce", "xyz" * 100, "xyz" * 90 + "a"]
     rows = [(a, b, c, d) for a in some for b in some for c in some for d in some]
